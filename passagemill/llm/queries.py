@@ -6,6 +6,7 @@ import importlib
 
 #: query name: (module, function with (spark, sf_dir), function with the SQL or None).
 NAMES = {
+    "op2_embeddings": ("embeddings", "op2_embeddings", "op2_sql"),
     "op4_minhash": ("minhash", "op4_minhash", "op4_sql"),
     "op5_quality": ("quality", "op5_quality", "op5_sql"),
 }
