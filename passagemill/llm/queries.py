@@ -7,8 +7,11 @@ import importlib
 #: query name: (module, function with (spark, sf_dir), function with the SQL or None).
 NAMES = {
     "op2_embeddings": ("embeddings", "op2_embeddings", "op2_sql"),
+    "op3_mixing": ("mixing", "op3_mixing", None),
     "op4_minhash": ("minhash", "op4_minhash", "op4_sql"),
     "op5_quality": ("quality", "op5_quality", "op5_sql"),
+    "op7_token_counts": ("token_counts", "op7_token_counts", None),
+    "op9_packing": ("packing", "op9_packing", None),
 }
 
 
