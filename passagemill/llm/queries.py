@@ -6,6 +6,7 @@ import importlib
 
 #: query name: (module, function with (spark, sf_dir), function with the SQL or None).
 NAMES = {
+    "op1_html": ("html", "op1_html", None),
     "op2_embeddings": ("embeddings", "op2_embeddings", "op2_sql"),
     "op3_mixing": ("mixing", "op3_mixing", None),
     "op4_minhash": ("minhash", "op4_minhash", "op4_sql"),
