@@ -11,6 +11,7 @@ NAMES = {
     "op3_mixing": ("mixing", "op3_mixing", None),
     "op4_minhash": ("minhash", "op4_minhash", "op4_sql"),
     "op5_quality": ("quality", "op5_quality", "op5_sql"),
+    "op6_classlm": ("classlm", "op6_classlm", None),
     "op7_token_counts": ("token_counts", "op7_token_counts", None),
     "op8_toxicity": ("toxicity", "op8_toxicity", None),
     "op9_packing": ("packing", "op9_packing", None),
