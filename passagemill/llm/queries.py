@@ -15,6 +15,7 @@ NAMES = {
     "op7_token_counts": ("token_counts", "op7_token_counts", None),
     "op8_toxicity": ("toxicity", "op8_toxicity", None),
     "op9_packing": ("packing", "op9_packing", None),
+    "op10_licenses": ("licenses", "op10_licenses", None),
 }
 
 
