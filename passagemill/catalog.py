@@ -1,9 +1,379 @@
-"""Registry of the retrieval-data queries."""
+"""Queries of the retrieval-data operators over the driver's tables, each beside DuckDB SQL for the same rows.
+
+Inputs are derived alike on both sides: pairs from the first user and assistant turns of a conversation; records from
+documents, whose negatives are the texts of other documents at fixed offsets; searches from a quarter of the embeddings
+with all but their first 8 dimensions cleared.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import jsonx
+from .functions.text import WHITE, backoff, length_fits, normalized, safe_name, strip, word_bounds, word_count
+from .operators import clean, records, retrieval, split
+from .plans import generate
+from .sources import files
+
+COUNT, TOLERANCE, SEED, RATIOS = 7, 0.15, 42, (80.0, 10.0, 10.0)
+OFFSETS = [0, 1, 1, 2, 3, 5, 8, 13, 21, 34]
+TYPES = [t for t, _ in records.STRATEGIES]
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# inputs
+
+def _pairs(spark, d):
+    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("turn", "text")))["text"]
+    return _read(spark, d, "conversations").groupBy(F.col("conv_id").alias("source_index")).agg(first("user").alias("question"), first("assistant").alias("content_text"))
+
+
+def _records(spark, d):
+    docs = _read(spark, d, "documents").select("doc_id", "text")
+    at = docs.select("doc_id", F.posexplode(F.array(*map(F.lit, OFFSETS))).alias("pos", "off")).where(F.col("pos") < 4 + F.col("doc_id") % 7)
+    size = docs.agg(F.count("*").alias("size"))
+    at = at.join(F.broadcast(size)).withColumn("other", (F.col("doc_id") + F.col("off") * 17) % F.col("size"))
+    texts = docs.select(F.col("doc_id").alias("other"), strip(F.col("text")).alias("neg"))
+    item = F.struct((F.col("pos") + 1).cast("int").alias("id"), F.get(F.array(*map(F.lit, TYPES)), F.col("pos") % 7).alias("type"), F.lit("hard").alias("hardness"), F.lit("x").alias("violated_requirement"), F.col("neg").alias("text"))
+    negs = at.join(texts, "other").groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("hard_negatives"))
+    own = docs.select("doc_id", strip(F.split("text", "\n")[0]).alias("query"), strip(F.col("text")).alias("positive"))
+    return own.join(negs, "doc_id").select((F.col("doc_id") + 1).alias("line_no"), F.col("doc_id").alias("source_index"), "query", "positive", "hard_negatives")
+
+
+def _cleaned(spark, d):
+    return clean.cleaned(_records(spark, d), COUNT)
+
+
+def _examples(spark, d):
+    return records.training_examples(_cleaned(spark, d))
+
+
+def _searches(spark, d):
+    vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_index"), "embedding")
+    asked = vectors.where("doc_index % 4 = 0").select(F.col("doc_index").alias("query_index"), F.expr("transform(cast(embedding AS array<double>), (x, i) -> IF(i < 8, x, 0D))").alias("embedding"))
+    return retrieval.normalize(asked), retrieval.normalize(vectors)
+
+
+def _rows(spark, d):
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("source_index"), strip(F.split("text", "\n")[0]).alias("query"), strip(F.col("text")).alias("positive"))
+
+
+def _state(spark, d):
+    """Two versions of each candidate, later ones longer, and no candidate where (source_index + strategy) % 5 = 0."""
+    base = _read(spark, d, "documents").select(F.col("doc_id").alias("source_index"), F.posexplode(F.array(*map(F.lit, TYPES))).alias("strategy_index", "violated_requirement"))
+    both = base.withColumn("version", F.explode(F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
+    text = F.when((F.col("source_index") + F.col("strategy_index")) % 5 != 0, F.concat_ws(" ", "violated_requirement", F.col("version").cast("string"), F.col("source_index").cast("string")))
+    return both.withColumn("text", text).select("source_index", "strategy_index", "violated_requirement", "text", "version")
+
+
+# SQL of the inputs
+
+_WS = " || ".join(f"chr({ord(c)})" for c in WHITE)
+_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITE)
+_TYPES = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
+_PAIRS = "p AS (SELECT conv_id AS source_index, arg_min(text, turn) FILTER (role = 'user') AS question, arg_min(text, turn) FILTER (role = 'assistant') AS content_text FROM conversations GROUP BY conv_id)"
+_REC = f"""ws AS (SELECT {_WS} AS ws), rec AS (SELECT doc_id + 1 AS line_no, doc_id AS source_index, trim(split_part(text, chr(10), 1), ws) AS query, trim(text, ws) AS positive FROM documents, ws),
+ neg AS (SELECT d.doc_id + 1 AS line_no, p.pos, {_TYPES}[p.pos % 7 + 1] AS type, trim(x.text, ws) AS text FROM documents d, ws, (SELECT unnest(range({len(OFFSETS)})) AS pos, unnest({OFFSETS}) AS off) p, (SELECT count(*) AS n FROM documents) s, documents x WHERE x.doc_id = (d.doc_id + p.off * 17) % s.n AND p.pos < 4 + d.doc_id % 7)"""
+_FIRST = "first AS (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY query ORDER BY line_no) = 1)"
+_DISP = f"""item AS (SELECT n.*, f.query, f.positive, n.text = f.positive AS fn, min(n.pos) FILTER (n.text <> f.positive) OVER (PARTITION BY n.line_no, n.text) AS fp FROM neg n JOIN first f USING (line_no)),
+ ranked AS (SELECT *, CASE WHEN NOT fn THEN dense_rank() OVER (PARTITION BY line_no, fn ORDER BY fp) END AS r FROM item),
+ disp AS (SELECT *, CASE WHEN fn THEN 'false_negative' WHEN r > {COUNT} THEN 'truncated' WHEN pos = fp THEN 'kept' ELSE 'duplicate' END AS disposition FROM ranked)"""
+_POOL = "pool AS (SELECT row_number() OVER (ORDER BY min(line_no)) - 1 AS pool_index, positive FROM rec GROUP BY positive)"
+_FILL = f"""size AS (SELECT count(*) AS size FROM pool), have AS (SELECT f.line_no, f.query, f.positive, count(d.pos) AS kept FROM first f LEFT JOIN disp d ON d.line_no = f.line_no AND d.disposition = 'kept' GROUP BY ALL),
+ asked AS (SELECT h.*, t.shift, (h.line_no - 1 + t.shift) % size AS pool_index FROM have h, size, (SELECT unnest(range({COUNT + 2})) AS shift) t WHERE h.kept < {COUNT} AND t.shift < size),
+ fill AS (SELECT a.line_no, a.kept, a.shift, p.positive AS fill FROM asked a JOIN pool p USING (pool_index) WHERE p.positive <> a.positive AND p.positive <> a.query AND NOT EXISTS (SELECT 1 FROM disp d WHERE d.line_no = a.line_no AND d.disposition = 'kept' AND d.text = p.positive) QUALIFY row_number() OVER (PARTITION BY a.line_no ORDER BY a.shift) <= {COUNT} - a.kept),
+ flat AS (SELECT line_no, CAST(r AS BIGINT) AS id, type, 'hard' AS hardness, text FROM disp WHERE disposition = 'kept' UNION ALL SELECT line_no, CAST(kept + row_number() OVER (PARTITION BY line_no ORDER BY shift) AS BIGINT), '{records.FILLED[0]}', '{records.FILLED[1]}', fill FROM fill)"""
+_CLEAN = f"{_REC}, {_FIRST}, {_DISP}, {_POOL}, {_FILL}"
+_GROUPS = f"{_REC}, grp AS (SELECT positive, count(*) AS n, min(line_no) AS first_line, md5('{SEED}:' || positive) AS order_key FROM rec GROUP BY positive)"
+_SPLIT = f"""{_GROUPS}, o AS (SELECT *, row_number() OVER (ORDER BY order_key) AS k, sum(n) OVER () AS total FROM grp),
+ run(k, a, b, c, i) AS (SELECT 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0 UNION ALL SELECT o.k, a + CASE WHEN s = 0 THEN n ELSE 0 END, b + CASE WHEN s = 1 THEN n ELSE 0 END, c + CASE WHEN s = 2 THEN n ELSE 0 END, s FROM (SELECT o.k, o.n, r.a, r.b, r.c,
+ CASE WHEN a / (total * 0.8::DOUBLE) <= b / (total * 0.1::DOUBLE) AND a / (total * 0.8::DOUBLE) <= c / (total * 0.1::DOUBLE) THEN 0 WHEN b / (total * 0.1::DOUBLE) <= c / (total * 0.1::DOUBLE) THEN 1 ELSE 2 END AS s FROM run r JOIN o ON o.k = r.k + 1) o),
+ side AS (SELECT o.positive, o.n, ['train', 'validation', 'test'][i + 1] AS split FROM run JOIN o USING (k))"""
+_VEC = """v AS (SELECT vec_id AS doc_index, list_transform(e, lambda x: x / n) AS embedding FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)),
+ q AS (SELECT query_index, list_transform(e, lambda x: x / n) AS embedding FROM (SELECT query_index, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id AS query_index, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i <= 8 THEN x ELSE 0 END) AS e FROM embeddings WHERE vec_id % 4 = 0))),
+ s AS (SELECT query_index, doc_index, list_inner_product(q.embedding, v.embedding) AS score FROM q, v),
+ top AS (SELECT *, row_number() OVER (PARTITION BY query_index ORDER BY score DESC, doc_index) AS rank FROM s QUALIFY rank <= 10)"""
+_STATE = f"""st AS (SELECT doc_id AS source_index, i AS strategy_index, {_TYPES}[i + 1] AS violated_requirement, version, CASE WHEN (doc_id + i) % 5 <> 0 THEN {_TYPES}[i + 1] || ' ' || version || ' ' || doc_id END AS text FROM documents, (SELECT unnest(range(7)) AS i), (SELECT unnest([1, 2]) AS version)),
+ last AS (SELECT source_index, strategy_index, violated_requirement, text FROM st WHERE version = 2 AND text IS NOT NULL)"""
+
+#: Answers and lines with every kind of fault, on both sides.
+ANSWERS = ["", '{"text": "a b", "violated_requirement": "v"}', '```json\n{"text": "a b c", "violated_requirement": "v"}\n```', '```\n{"text": "x"}\n```', 'Sure: {"text": "a b", "violated_requirement": "w"} done', "[1, 2]", "no json", '{"text": 5, "violated_requirement": "v"}', '{"text": "  ", "violated_requirement": "v"}', '{"text": "the one", "violated_requirement": "v"}', '{"text": "much too long to pass the bounds", "violated_requirement": "v"}']
+EVAL_LINES = ['{"query": "q1", "pos": ["p"], "neg": []}', '{"query": " q1 ", "pos": ["p"], "neg": ["n"]}', '{"query": "q2", "pos": ["p", "r"], "neg": []}', '{"query": 5, "pos": ["p"], "neg": []}', "not json", '{"query": "q3", "pos": [" "], "neg": []}', '{"query": "q4", "pos": ["p"], "neg": [1]}', '{"query": "q5", "pos": ["p"]}', '{"query": "q6", "pos": ["p"], "neg": ["n", "m"]}']
+
+
+def _inline(spark, values):
+    return spark.createDataFrame(list(enumerate(values, 1)), "line_no long, line string")
+
+
+def _values(values: list[str]) -> str:
+    quoted = ", ".join(f"({i}, '" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for i, v in enumerate(values, 1))
+    return f"(VALUES {quoted}) AS t(line_no, line)"
+
+
+# queries
+
+def _word_counts(s, d):
+    return _read(s, d, "documents").select("doc_id", word_count(F.col("text")).cast("long").alias("n_words"), F.length(normalized(F.col("text"))).cast("long").alias("n_normalized"))
+
+
+def _word_bounds(s, d):
+    n = word_count(F.col("text"))
+    low, high = word_bounds(n, 0.29)
+    return _read(s, d, "documents").select("doc_id", low.alias("low"), high.alias("high"))
+
+
+def _length_filter(s, d):
+    p = _pairs(s, d).where("question IS NOT NULL AND content_text IS NOT NULL")
+    return p.where(length_fits(F.col("content_text"), word_count(F.col("question")), 0.5)).select("source_index")
+
+
+def _ws_normalize(s, d):
+    return _read(s, d, "documents").select("doc_id", F.md5(normalized(F.col("text"))).alias("digest"))
+
+
+def _pairs_nonempty(s, d):
+    return files.nonempty_pairs(_pairs(s, d))
+
+
+def _pairs_limit(s, d):
+    return generate.limited(_pairs_nonempty(s, d).where("source_index % 3 <> 0"), 25).select("source_index", "query")
+
+
+def _pending_rows(s, d):
+    docs = _read(s, d, "documents").select(F.col("doc_id").alias("source_index"))
+    return generate.pending(docs, docs.where("source_index % 3 = 0"))
+
+
+def _missing_work(s, d):
+    rows = _read(s, d, "documents").select(F.col("doc_id").alias("source_index"))
+    return generate.missing(rows, generate.latest(_state(s, d))).select("source_index", F.col("strategy_index").cast("long").alias("strategy_index"))
+
+
+def _complete_rows(s, d):
+    # without the gaps of every fifth candidate for a part of the rows
+    saved = generate.latest(_state(s, d).withColumn("text", F.coalesce("text", F.when(F.col("source_index") % 2 == 0, F.lit("made up")))))
+    return generate.complete(saved)
+
+
+def _assemble(s, d):
+    state = _state(s, d).withColumn("text", F.coalesce("text", F.lit("filled  in")))
+    out = records.assembled(_rows(s, d), generate.latest(state))
+    return out.select("source_index", F.col("later_duplicate").cast("long").alias("later_duplicate"), F.array_join(F.transform("hard_negatives", lambda x: F.concat_ws("|", x["id"].cast("string"), x["type"], x["hardness"], x["text"])), ";").alias("negatives"))
+
+
+def _strategy_dim(s, d):
+    return records.strategies(s).select(F.col("strategy_index").cast("long").alias("strategy_index"), "type", "hardness").join(generate.latest(_state(s, d)).groupBy("strategy_index").agg(F.count("*").alias("n")), "strategy_index")
+
+
+def _dispositions(s, d):
+    out = clean.disposed(clean.first_queries(_records(s, d)), COUNT)
+    return out.select("line_no", F.size("kept").cast("long").alias("kept"), "duplicates", "false_negatives", "truncated")
+
+
+def _backfill_slots(s, d):
+    r = _records(s, d)
+    own = clean.disposed(clean.first_queries(r), COUNT)
+    return clean.slots(own, clean.positive_pool(r), COUNT).select("line_no", F.explode("fills").alias("f")).select("line_no", "f.shift", "f.fill")
+
+
+def _clean_flat(s, d):
+    return _cleaned(s, d).select("line_no", F.explode("hard_negatives").alias("n")).select("line_no", F.col("n.id").cast("long").alias("id"), "n.type", "n.hardness", "n.text")
+
+
+def _examples_flat(s, d):
+    return _examples(s, d).where("example_error IS NULL").select("line_no", F.md5(F.col("pos")[0]).alias("pos"), F.posexplode("neg").alias("at", "neg")).select("line_no", "pos", F.col("at").cast("long").alias("at"), F.md5("neg").alias("neg"))
+
+
+def _split_groups(s, d):
+    return split.hashed_order(split.groups(_records(s, d).select("line_no", "positive")), SEED).select("positive", "n", "first_line", "order_key")
+
+
+def _split_assignment(s, d):
+    return split.assigned(split.hashed_order(split.groups(_records(s, d).select("line_no", "positive")), SEED), RATIOS)
+
+
+def _split_counts(s, d):
+    return split.counts(split.split(_records(s, d).select("line_no", "positive"), RATIOS, SEED))
+
+
+def _split_leakage(s, d):
+    return split.leaked(split.split(_records(s, d).select("line_no", "positive"), RATIOS, SEED)).agg(F.count("*").alias("leaked"))
+
+
+def _split_compatible(s, d):
+    return split.counts(split.split(_records(s, d).select("line_no", "positive"), RATIOS, SEED, compatible=True))
+
+
+def _corpus(full):
+    return lambda s, d: retrieval.corpus(_examples(s, d), full)
+
+
+def _qrels(s, d):
+    e = _examples(s, d)
+    return retrieval.qrels(e, retrieval.corpus(e, True))
+
+
+def _l2_norms(s, d):
+    return _read(s, d, "embeddings").select("vec_id", F.round(retrieval.norm(F.col("embedding")), 6).alias("norm"))
+
+
+def _normalize(s, d):
+    q, _ = _searches(s, d)
+    return q.select("query_index", F.posexplode("embedding").alias("at", "x")).where("at < 8").select("query_index", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
+
+
+def _dot_scores(s, d):
+    q, v = _searches(s, d)
+    return q.join(v, q["query_index"] == v["doc_index"]).select("query_index", F.round(retrieval.dot(q["embedding"], v["embedding"]), 6).alias("score"))
+
+
+def _topk(s, d):
+    return retrieval.neighbours(*_searches(s, d)).select("query_index", "doc_index", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+def _ranked(s, d):
+    q, v = _searches(s, d)
+    relevant = q.select("query_index", F.col("query_index").alias("doc_index"))
+    return retrieval.ranks(retrieval.neighbours(q, v), relevant)
+
+
+def _relevant_rank(s, d):
+    return _ranked(s, d).select("query_index", F.col("rank").cast("long").alias("rank"))
+
+
+def _metrics(s, d):
+    return retrieval.metrics(_ranked(s, d)).select("query_count", *(F.round(c, 6).alias(c) for c in ("recall_at_1", "recall_at_5", "mrr_at_10")))
+
+
+def _parse_json(s, d):
+    v = jsonx.tolerant_object(F.col("line"))
+    return _inline(s, ANSWERS).withColumn("v", v).select("line_no", F.col("v").isNotNull().alias("object"), jsonx.text_at(F.col("v"), "$.text").alias("text"), jsonx.text_at(F.col("v"), "$.violated_requirement").alias("violated_requirement"))
+
+
+def _validate(s, d):
+    df = _inline(s, ANSWERS).withColumn("v", jsonx.tolerant_object(F.col("line"))).select("line_no", F.lit("the one").alias("positive"), jsonx.text_at(F.col("v"), "$.text").alias("text"), jsonx.text_at(F.col("v"), "$.violated_requirement").alias("violated_requirement"))
+    return records.validated(df, 0.5).select("line_no", "error")
+
+
+def _validate_combined(s, d):
+    items = ", ".join(f'{{"id": {i + 1}, "type": "{t}", "text": "t{i}", "violated_requirement": "v"}}' for i, t in enumerate(TYPES))
+    good = f'{{"information_need": "n", "critical_requirements": ["r"], "hard_negatives": [{items}]}}'
+    lines = [good, good.replace('"id": 2', '"id": 3'), good.replace('["r"]', "[]"), good.replace('"t4"', '" "'), good.replace('"n"', '" "', 1), "[]", good.replace(items, items.rsplit(", {", 1)[0])]
+    return _inline(s, lines).select("line_no", records.combined_error(jsonx.tolerant_object(F.col("line"))).alias("error"))
+
+
+def _eval_checks(s, d):
+    return records.evaluation_errors(_inline(s, EVAL_LINES).withColumn("value", F.try_parse_json("line"))).select("line_no", "error")
+
+
+def _state_latest(s, d):
+    return generate.latest(_state(s, d)).select("source_index", F.col("strategy_index").cast("long").alias("strategy_index"), "violated_requirement", "text")
+
+
+def _state_compacted(s, d):
+    done = _read(s, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("source_index"))
+    return generate.compacted(generate.latest(_state(s, d)), done).select("source_index", F.col("strategy_index").cast("long").alias("strategy_index"))
+
+
+def _stubbed(s, d):
+    work = generate.missing(_rows(s, d), generate.latest(_state(s, d)))
+    return generate.answered(work, lambda: generate.stub, TOLERANCE, retries=2, delay=0.0)
+
+
+def _generate_stub(s, d):
+    return _stubbed(s, d).select("source_index", "strategy_index", "violated_requirement", "text", "error")
+
+
+def _error_summary(s, d):
+    return _stubbed(s, d).groupBy(F.coalesce("error", F.lit("saved")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def _encode_stub(s, d):
+    make = lambda: lambda texts: [[float(len(t)), float(len(t.split())), 1.0] for t in texts]
+    out = retrieval.encoded(_read(s, d, "documents").select("doc_id", "text"), make)
+    return out.select("doc_id", F.col("embedding")[0].cast("long").alias("chars"), F.col("embedding")[1].cast("long").alias("words"))
+
+
+def _backoff(s, d):
+    return s.range(1, 5).select(F.col("id").alias("attempt"), backoff(F.col("id"), 2.0).alias("seconds"))
+
+
+def _safe_names(s, d):
+    return _read(s, d, "pages").select("page_id", safe_name(F.col("url")).alias("name"))
+
+
+def _report(s, d):
+    m = _metrics(s, d)
+    labels = [("recall_at_1", "Recall@1"), ("recall_at_5", "Recall@5"), ("mrr_at_10", "MRR@10")]
+    return m.select(F.explode(F.array(*(F.struct(F.lit(label).alias("metric"), F.format_number(F.col(c), 6).alias("value")) for c, label in labels))).alias("r")).select("r.*")
+
+
+_WORDS = lambda c: f"CAST(len(regexp_extract_all({c}, '[^{_CLASS}]+')) AS BIGINT)"
+_NORM = lambda c: f"trim(regexp_replace({c}, '[{_CLASS}]+', ' ', 'g'), (SELECT ws FROM ws))"
+_DIM = ", ".join(f"({i}, '{t}', '{h}')" for i, (t, h) in enumerate(records.STRATEGIES))
+_FENCED = r"regexp_replace(regexp_replace(trim(line, ' ' || chr(10)), '^```(json)?\s*', ''), '\s*```$', '')"
+_JSON = f"""a AS (SELECT line_no, CASE WHEN line LIKE '```%' THEN {_FENCED} ELSE trim(line) END AS b FROM {_values(ANSWERS)}),
+ j AS (SELECT line_no, CASE WHEN json_valid(b) THEN b WHEN json_valid(regexp_extract(b, '\\{{.*\\}}')) THEN regexp_extract(b, '\\{{.*\\}}') END AS b FROM a),
+ o AS (SELECT line_no, CASE WHEN json_type(b) = 'OBJECT' THEN b END AS v FROM j),
+ f AS (SELECT line_no, v IS NOT NULL AS object, CASE WHEN json_type(v, '$.text') = 'VARCHAR' THEN v ->> '$.text' END AS text, CASE WHEN json_type(v, '$.violated_requirement') = 'VARCHAR' THEN v ->> '$.violated_requirement' END AS violated_requirement FROM o)"""
+
+QUERIES = {
+    "word_counts": (_word_counts, f"WITH ws AS (SELECT {_WS} AS ws) SELECT doc_id, {_WORDS('text')} AS n_words, CAST(length({_NORM('text')}) AS BIGINT) AS n_normalized FROM documents"),
+    "word_bounds": (_word_bounds, f"SELECT doc_id, CAST(greatest(1, n - floor(n * 0.29::DOUBLE)) AS BIGINT) AS low, CAST(n + floor(n * 0.29::DOUBLE) AS BIGINT) AS high FROM (SELECT doc_id, {_WORDS('text')} AS n FROM documents)"),
+    "length_filter": (_length_filter, f"WITH {_PAIRS} SELECT source_index FROM (SELECT *, {_WORDS('question')} AS n, {_WORDS('content_text')} AS m FROM p WHERE question IS NOT NULL AND content_text IS NOT NULL) WHERE m BETWEEN greatest(1, n - floor(n * 0.5::DOUBLE)) AND n + floor(n * 0.5::DOUBLE)"),
+    "ws_normalize": (_ws_normalize, f"WITH ws AS (SELECT {_WS} AS ws) SELECT doc_id, md5({_NORM('text')}) AS digest FROM documents"),
+    "pairs_scan": (lambda s, d: _pairs(s, d), f"WITH {_PAIRS} SELECT * FROM p"),
+    "pairs_nonempty": (_pairs_nonempty, f"WITH {_PAIRS}, ws AS (SELECT {_WS} AS ws) SELECT source_index, trim(question, ws) AS query, trim(content_text, ws) AS positive FROM p, ws WHERE coalesce(trim(question, ws), '') <> '' AND coalesce(trim(content_text, ws), '') <> ''"),
+    "pairs_limit": (_pairs_limit, f"WITH {_PAIRS}, ws AS (SELECT {_WS} AS ws) SELECT source_index, trim(question, ws) AS query FROM p, ws WHERE coalesce(trim(question, ws), '') <> '' AND coalesce(trim(content_text, ws), '') <> '' AND source_index % 3 <> 0 ORDER BY source_index LIMIT 25"),
+    "pending_rows": (_pending_rows, "SELECT doc_id AS source_index FROM documents WHERE doc_id % 3 <> 0"),
+    "missing_work": (_missing_work, f"WITH {_STATE} SELECT doc_id AS source_index, i AS strategy_index FROM documents, (SELECT unnest(range(7)) AS i) WHERE (doc_id, i) NOT IN (SELECT (source_index, strategy_index) FROM last)"),
+    "complete_rows": (_complete_rows, "SELECT doc_id AS source_index FROM documents, (SELECT unnest(range(7)) AS i) WHERE (doc_id + i) % 5 <> 0 OR doc_id % 2 = 0 GROUP BY doc_id HAVING count(*) = 7"),
+    "strategy_dim_join": (_strategy_dim, f"WITH {_STATE} SELECT CAST(i AS BIGINT) AS strategy_index, type, hardness, count(*) AS n FROM (VALUES {_DIM}) t(i, type, hardness) JOIN last ON i = strategy_index GROUP BY ALL"),
+    "assemble_records": (_assemble, f"""WITH {_STATE}, c AS (SELECT source_index, strategy_index AS i, coalesce(text, 'filled  in') AS text FROM st WHERE version = 2), g AS (SELECT *, min(i) OVER (PARTITION BY source_index, regexp_replace(text, ' +', ' ', 'g')) AS lo FROM c)
+ SELECT source_index, CAST(min(CASE WHEN i > lo THEN i END) AS BIGINT) AS later_duplicate, string_agg((i + 1) || '|' || type || '|' || hardness || '|' || text, ';' ORDER BY i) AS negatives FROM g JOIN (VALUES {_DIM}) t(k, type, hardness) ON i = k GROUP BY source_index"""),
+    "positive_pool": (lambda s, d: clean.positive_pool(_records(s, d)), f"WITH {_REC}, {_POOL} SELECT * FROM pool"),
+    "dedup_queries": (lambda s, d: clean.first_queries(_records(s, d)).select("line_no", "query"), f"WITH {_REC}, {_FIRST} SELECT line_no, query FROM first"),
+    "negative_dispositions": (_dispositions, f"WITH {_REC}, {_FIRST}, {_DISP} SELECT line_no, count(*) FILTER (disposition = 'kept') AS kept, count(*) FILTER (disposition = 'duplicate') AS duplicates, count(*) FILTER (disposition = 'false_negative') AS false_negatives, count(*) FILTER (disposition = 'truncated') AS truncated FROM disp GROUP BY line_no"),
+    "clean_stats": (lambda s, d: clean.stats(_records(s, d), COUNT), f"WITH {_REC}, {_FIRST}, {_DISP} SELECT (SELECT count(*) FROM rec) AS total, (SELECT count(*) FROM rec) - (SELECT count(*) FROM first) AS duplicate_queries, count(*) FILTER (disposition = 'duplicate') AS duplicate_negatives, count(*) FILTER (disposition = 'false_negative') AS false_negatives, count(*) FILTER (disposition = 'truncated') AS truncated_negatives, (SELECT count(*) FROM first) AS saved FROM disp"),
+    "backfill_slots": (_backfill_slots, f"WITH {_CLEAN} SELECT line_no, shift, fill FROM fill"),
+    "clean_negatives_flat": (_clean_flat, f"WITH {_CLEAN} SELECT * FROM flat"),
+    "training_examples_flat": (_examples_flat, f"WITH {_CLEAN} SELECT line_no, md5(positive) AS pos, id - 1 AS at, md5(text) AS neg FROM flat JOIN first USING (line_no)"),
+    "split_groups": (_split_groups, f"WITH {_GROUPS} SELECT * FROM grp"),
+    "split_assignment": (_split_assignment, f"WITH RECURSIVE {_SPLIT} SELECT * FROM side"),
+    "split_counts": (_split_counts, f"WITH RECURSIVE {_SPLIT} SELECT split, CAST(sum(n) AS BIGINT) AS n FROM side GROUP BY split"),
+    "split_leakage": (_split_leakage, "SELECT CAST(0 AS BIGINT) AS leaked"),
+    "split_compatible": (_split_compatible, None),
+    "corpus_positive_only": (_corpus(False), f"WITH {_CLEAN} SELECT row_number() OVER (ORDER BY min(line_no)) - 1 AS doc_index, positive AS text FROM first GROUP BY positive"),
+    "corpus_full": (_corpus(True), f"WITH {_CLEAN}, t AS (SELECT positive AS text, 0 AS section, line_no, 0 AS at FROM first UNION ALL SELECT text, 1, line_no, id FROM flat) SELECT row_number() OVER (ORDER BY min({{'a': section, 'b': line_no, 'c': at}})) - 1 AS doc_index, text FROM t GROUP BY text"),
+    "qrels": (_qrels, f"WITH {_CLEAN}, c AS (SELECT row_number() OVER (ORDER BY min(line_no)) - 1 AS doc_index, positive FROM first GROUP BY positive) SELECT row_number() OVER (ORDER BY line_no) - 1 AS query_index, doc_index FROM first JOIN c USING (positive)"),
+    "l2_norms": (_l2_norms, "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings"),
+    "normalize": (_normalize, f"WITH {_VEC} SELECT query_index, at, round(embedding[at + 1], 6) AS x FROM q, (SELECT unnest(range(8)) AS at)"),
+    "dot_scores": (_dot_scores, f"WITH {_VEC} SELECT query_index, round(list_inner_product(q.embedding, v.embedding), 6) AS score FROM q JOIN v ON query_index = doc_index"),
+    "topk_neighbors": (_topk, f"WITH {_VEC} SELECT query_index, doc_index, rank, round(score, 6) AS score FROM top"),
+    "relevant_rank": (_relevant_rank, f"WITH {_VEC} SELECT q.query_index, rank FROM q LEFT JOIN top ON top.query_index = q.query_index AND doc_index = q.query_index"),
+    "retrieval_metrics": (_metrics, f"WITH {_VEC}, r AS (SELECT q.query_index, rank FROM q LEFT JOIN top ON top.query_index = q.query_index AND doc_index = q.query_index) SELECT count(*) AS query_count, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END), 6) AS mrr_at_10 FROM r"),
+    "parse_json_outcomes": (_parse_json, f"WITH {_JSON} SELECT * FROM f"),
+    "validate_candidates": (_validate, f"WITH {_JSON} SELECT line_no, CASE WHEN coalesce(trim(text), '') = '' THEN 'text is missing' WHEN coalesce(trim(violated_requirement), '') = '' THEN 'violated_requirement is missing' WHEN trim(text) = 'the one' THEN 'identical to the positive' WHEN {_WORDS('text')} NOT BETWEEN 1 AND 3 THEN 'word count out of bounds' END AS error FROM f"),
+    "validate_combined": (_validate_combined, None),
+    "eval_record_checks": (_eval_checks, None),
+    "state_latest": (_state_latest, f"WITH {_STATE} SELECT * FROM last"),
+    "state_compacted": (_state_compacted, f"WITH {_STATE} SELECT source_index, strategy_index FROM last WHERE source_index % 3 <> 0"),
+    "error_summary": (_error_summary, None),
+    "generate_stub": (_generate_stub, None),
+    "encode_stub": (_encode_stub, r"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words FROM documents"),
+    "backoff_plan": (_backoff, "SELECT i AS attempt, 2.0::DOUBLE * pow(2, i - 1) AS seconds FROM (SELECT unnest(range(1, 5)) AS i)"),
+    "safe_names": (_safe_names, r"SELECT page_id, CASE WHEN n = '' THEN 'model' ELSE n END AS name FROM (SELECT page_id, trim(regexp_replace(regexp_extract(url, '([^/\\]*)[/\\]*$', 1), '[^A-Za-z0-9._-]+', '-', 'g'), '-_') AS n FROM pages)"),
+    "report_metrics": (_report, f"WITH {_VEC}, r AS (SELECT q.query_index, rank FROM q LEFT JOIN top ON top.query_index = q.query_index AND doc_index = q.query_index), m AS (SELECT avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END) AS a, avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END) AS b, avg(CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END) AS c FROM r) SELECT unnest(['Recall@1', 'Recall@5', 'MRR@10']) AS metric, unnest([printf('%.6f', a), printf('%.6f', b), printf('%.6f', c)]) AS value FROM m"),
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
