@@ -348,7 +348,7 @@ QUERIES = {
     "split_leakage": (_split_leakage, "SELECT CAST(0 AS BIGINT) AS leaked"),
     "split_compatible": (_split_compatible, None),
     "corpus_positive_only": (_corpus(False), f"WITH {_CLEAN} SELECT row_number() OVER (ORDER BY min(line_no)) - 1 AS doc_index, positive AS text FROM first GROUP BY positive"),
-    "corpus_full": (_corpus(True), f"WITH {_CLEAN}, t AS (SELECT positive AS text, 0 AS section, line_no, 0 AS at FROM first UNION ALL SELECT text, 1, line_no, id FROM flat) SELECT row_number() OVER (ORDER BY min({{'a': section, 'b': line_no, 'c': at}})) - 1 AS doc_index, text FROM t GROUP BY text"),
+    "corpus_full": (_corpus(True), f"WITH {_CLEAN}, t AS (SELECT positive AS text, 0 AS section, line_no, 0 AS place FROM first UNION ALL SELECT text, 1, line_no, id FROM flat) SELECT row_number() OVER (ORDER BY min({{'a': section, 'b': line_no, 'c': place}})) - 1 AS doc_index, text FROM t GROUP BY text"),
     "qrels": (_qrels, f"WITH {_CLEAN}, c AS (SELECT row_number() OVER (ORDER BY min(line_no)) - 1 AS doc_index, positive FROM first GROUP BY positive) SELECT row_number() OVER (ORDER BY line_no) - 1 AS query_index, doc_index FROM first JOIN c USING (positive)"),
     "l2_norms": (_l2_norms, "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings"),
     "normalize": (_normalize, f"WITH {_VEC} SELECT query_index, at, round(embedding[at + 1], 6) AS x FROM q, (SELECT unnest(range(8)) AS at)"),
