@@ -49,7 +49,7 @@ def _cleaned(spark, d):
 
 
 def _examples(spark, d):
-    return records.training_examples(_cleaned(spark, d))
+    return records.training_examples(_cleaned(spark, d)).persist()  # read several times below
 
 
 def _searches(spark, d):
@@ -351,7 +351,7 @@ QUERIES = {
     "corpus_full": (_corpus(True), f"WITH {_CLEAN}, t AS (SELECT positive AS text, 0 AS section, line_no, 0 AS place FROM first UNION ALL SELECT text, 1, line_no, id FROM flat) SELECT row_number() OVER (ORDER BY min({{'a': section, 'b': line_no, 'c': place}})) - 1 AS doc_index, text FROM t GROUP BY text"),
     "qrels": (_qrels, f"WITH {_CLEAN}, c AS (SELECT row_number() OVER (ORDER BY min(line_no)) - 1 AS doc_index, positive FROM first GROUP BY positive) SELECT row_number() OVER (ORDER BY line_no) - 1 AS query_index, doc_index FROM first JOIN c USING (positive)"),
     "l2_norms": (_l2_norms, "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings"),
-    "normalize": (_normalize, f"WITH {_VEC} SELECT query_index, at, round(embedding[at + 1], 6) AS x FROM q, (SELECT unnest(range(8)) AS at)"),
+    "normalize": (_normalize, f"WITH {_VEC} SELECT query_index, i AS at, round(embedding[i + 1], 6) AS x FROM q, (SELECT unnest(range(8)) AS i)"),
     "dot_scores": (_dot_scores, f"WITH {_VEC} SELECT query_index, round(list_inner_product(q.embedding, v.embedding), 6) AS score FROM q JOIN v ON query_index = doc_index"),
     "topk_neighbors": (_topk, f"WITH {_VEC} SELECT query_index, doc_index, rank, round(score, 6) AS score FROM top"),
     "relevant_rank": (_relevant_rank, f"WITH {_VEC} SELECT q.query_index, rank FROM q LEFT JOIN top ON top.query_index = q.query_index AND doc_index = q.query_index"),

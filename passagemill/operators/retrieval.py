@@ -21,7 +21,7 @@ def corpus(examples: DataFrame, full: bool) -> DataFrame:
     parts = pos
     if full:
         parts = pos.unionByName(examples.select(F.lit(1).alias("section"), "line_no", F.posexplode("neg").alias("at", "text")))
-    first = parts.groupBy("text").agg(F.min(F.struct("section", "line_no", "at")).alias("first"))
+    first = parts.groupBy("text").agg(F.min(F.struct("section", "line_no", "at")).alias("first")).persist()  # numbered in two passes
     sections = []
     for s in (0, 1) if full else (0,):
         own = first.where(F.col("first.section") == s)
