@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,24 +112,24 @@ def line_marginals(lines: list[np.ndarray], chain: np.ndarray, cells: int = 1 <<
     return out
 
 
-def marks(docs: list[tuple[list[str], int]]) -> set[str]:
+def marks(docs: Iterable[tuple[list[str], int]]) -> set[str]:
     """Words (w...) and beginnings (4..., 5..., 6...) that mark a token as toxic, from (tokens, label) of documents."""
-    seen = {0: Counter(), 1: Counter()}
+    seen, n = {0: Counter(), 1: Counter()}, {0: 1, 1: 1}
     for tokens, y in docs:
+        n[y] += 1
         seen[y].update({f for t in set(tokens) for f in features(t)[:-2]})
-    n = {y: max(1, sum(d[1] == y for d in docs)) for y in (0, 1)}
     return {f for f, k in seen[1].items() if k >= LEAST_DOCS and np.log((k + 0.1) / n[1]) - np.log((seen[0][f] + 0.5) / n[0]) >= LEAST_ODDS}
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 12, batch: int = 256, longest: int = 48, seed: int = 7) -> Model:
-    docs = [(t.split(), y) for t, y in zip(texts, labels)]
-    marked = marks(docs)
+    one: dict[str, str] = {}  # a token is kept once, however often it occurs
+    marked = marks((t.split(), y) for t, y in zip(texts, labels))
     lines, golds = [], []
     for text, y in zip(texts, labels):
         for line in text.split("\n"):
             tokens = line.split()
             for s in range(0, len(tokens), longest):  # of training only
-                part = tokens[s : s + longest]
+                part = [one.setdefault(t, t) for t in tokens[s : s + longest]]
                 gold = np.array([float(bool(y) and any(f in marked for f in features(t)[:-2])) for t in part])
                 lines.append(part)
                 golds.append(gold)
@@ -173,7 +173,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, batch: int = 25
             w[-1] = 0
             chain += 0.1 * g2 / np.sqrt(gc)
     model = Model({f: float(w[k]) for f, k in ids.items() if abs(w[k]) > 1e-3}, chain)
-    x = summarised([t.split("\n") for t in texts], model)
+    del lines, golds, rows, coded, one
+    x = np.concatenate([summarised([t.split("\n") for t in texts[s : s + 500]], model) for s in range(0, len(texts), 500)])
     y, b = np.array(labels, float), np.zeros(3)
     full = np.column_stack([np.ones(len(x)), x])
     for _ in range(30):  # Newton, with a ridge
