@@ -74,14 +74,17 @@ def measured(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     df = docs.withColumn("_words", F.array_remove(F.split(without(text, "\t\n\x0b\f\r", " "), " "), ""))
     df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^{GAP}]"))))
-    return df.withColumns({
+    found = {
         "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(without(text, " \t\n\x0b\f\r")).cast("long"),
         "n_symbols": (F.length(text) - F.length(without(text, "#*$%&|<>"))).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeat_words(F.col("_words")),
-    }).drop("_words", "_lines")
+    }
+    # one row by explode: filters on measures must not be pushed below, where each use would compute them anew
+    one_row = F.explode(F.array(F.struct(*(x.alias(m) for m, x in found.items()))))
+    return df.withColumn("_measures", one_row).select(*(c for c in docs.columns if c not in MEASURES), "_measures.*")
 
 
 def shares(df: DataFrame) -> DataFrame:
