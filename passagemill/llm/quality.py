@@ -20,8 +20,8 @@ from .shared import GAP, written
 #: metric: (numerator, denominator, least margin over the third quartile), in thousandths.
 METRICS = {
     "symbol_share": ("n_symbols", "word_chars", 50),
-    "dup_line_share": ("n_dup_lines", "n_lines", 200),
-    "repeat_share": ("n_repeat_words", "n_words", 150),
+    "dup_line_share": ("n_dup_lines", "n_lines", 400),
+    "repeat_share": ("n_repeat_words", "n_words", 300),
     "word_length": ("word_chars", "n_words", 6000),
 }
 #: Bins end at this many thousandths; longer words count as this.
