@@ -1,6 +1,6 @@
 """Micro-batches with exactly-once keys, on Structured Streaming.
 
-The reference's streams are files read with resume: here a stream of pair files is read with availableNow, and each
+Resuming over files is a stream: here one of pair files is read with availableNow, and each
 micro-batch is appended once, by key, however often it is retried.
 """
 
