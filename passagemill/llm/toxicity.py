@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -112,32 +112,47 @@ def line_marginals(lines: list[np.ndarray], chain: np.ndarray, cells: int = 1 <<
     return out
 
 
-def marks(docs: Iterable[tuple[list[str], int]]) -> set[str]:
-    """Words (w...) and beginnings (4..., 5..., 6...) that mark a token as toxic, from (tokens, label) of documents."""
-    seen, n = {0: Counter(), 1: Counter()}, {0: 1, 1: 1}
-    for tokens, y in docs:
-        n[y] += 1
-        seen[y].update({f for t in set(tokens) for f in features(t)[:-2]})
-    return {f for f, k in seen[1].items() if k >= LEAST_DOCS and np.log((k + 0.1) / n[1]) - np.log((seen[0][f] + 0.5) / n[0]) >= LEAST_ODDS}
+def marks(texts: list[str], labels: list[int]) -> set[str]:
+    """Words (w...) and beginnings (4..., 5..., 6...) that mark a token as toxic, from documents and their labels."""
+
+    def seen(label: int, of: set[str] | None = None) -> Counter:
+        found: Counter = Counter()
+        for text, y in zip(texts, labels):
+            if y == label:
+                own = {f for t in set(text.split()) for f in features(t)[:-2]}
+                found.update(own if of is None else own & of)
+        return found
+
+    n = {y: max(1, sum(x == y for x in labels)) for y in (0, 1)}
+    toxic = {f: k for f, k in seen(1).items() if k >= LEAST_DOCS}
+    clean = seen(0, set(toxic))
+    return {f for f, k in toxic.items() if np.log((k + 0.1) / n[1]) - np.log((clean[f] + 0.5) / n[0]) >= LEAST_ODDS}
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 12, batch: int = 256, longest: int = 48, seed: int = 7) -> Model:
     one: dict[str, str] = {}  # a token is kept once, however often it occurs
-    marked = marks((t.split(), y) for t, y in zip(texts, labels))
+    marked = marks(texts, labels)
     lines, golds = [], []
+    toxic: dict[str, float] = {}
     for text, y in zip(texts, labels):
         for line in text.split("\n"):
             tokens = line.split()
             for s in range(0, len(tokens), longest):  # of training only
                 part = [one.setdefault(t, t) for t in tokens[s : s + longest]]
-                gold = np.array([float(bool(y) and any(f in marked for f in features(t)[:-2])) for t in part])
+                for t in part if y else ():
+                    if t not in toxic:
+                        toxic[t] = float(any(f in marked for f in features(t)[:-2]))
+                gold = np.array([toxic[t] for t in part]) if y else np.zeros(len(part))
                 lines.append(part)
                 golds.append(gold)
     rng = np.random.default_rng(seed)
     yes = [i for i, g in enumerate(golds) if g.any()]
     no = [i for i, g in enumerate(golds) if not g.any()]
     used = yes + [no[i] for i in rng.permutation(len(no))[: max(2000, 2 * len(yes))]]
-    count = Counter(f for i in used for t in lines[i] for f in features(t))
+    count: Counter = Counter()
+    for t, n in Counter(t for i in used for t in lines[i]).items():
+        for f in features(t):
+            count[f] += n
     ids = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
     wide = len(BEGINNINGS) + 3
     coded: dict[str, np.ndarray] = {}
@@ -149,6 +164,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, batch: int = 25
         return coded[token]
 
     rows = [np.array([code(t) for t in lines[i]]) for i in used]
+    states = [golds[i].astype(int) for i in used]
+    have = np.array([np.bincount(2 * y[:-1] + y[1:], minlength=4).reshape(2, 2) for y in states])
     w, chain = np.zeros(len(ids) + 1), np.array([[0.5, -0.5], [-0.5, 0.5]])
     gw, gc = np.full(len(w), 1e-3), np.full((2, 2), 1e-3)
     for _ in range(rounds):
@@ -160,13 +177,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, batch: int = 25
             odds, _ = _padded(np.split(w[flat].sum(1), np.cumsum(lengths)[:-1]))
             p, pairs = marginals(odds, lengths, chain)
             live = np.arange(odds.shape[1]) < lengths[:, None]
-            gold = [golds[used[i]] for i in own]
-            off = np.concatenate(gold) - p[live]
+            off = np.concatenate([golds[used[i]] for i in own]) - p[live]
             g = np.bincount(flat.ravel(), np.repeat(off, wide), minlength=len(w)) / len(own) - 1e-4 * w
-            have = np.zeros((2, 2))
-            for y in gold:
-                np.add.at(have, (y[:-1].astype(int), y[1:].astype(int)), 1)
-            g2 = (have - pairs) / len(own) - 1e-4 * chain
+            g2 = (have[own].sum(0) - pairs) / len(own) - 1e-4 * chain
             gw += g * g
             gc += g2 * g2
             w += 0.3 * g / np.sqrt(gw)
