@@ -126,7 +126,7 @@ def main(argv: list[str] | None = None) -> int:
         print(clean.stats(rows, a.negative_count).first().asDict())
         return 0
     done = split.split(rows, (a.train_ratio, a.validation_ratio, a.test_ratio), a.seed, a.compatible_shuffle)
-    examples = records.training_examples(done.withColumnRenamed("example_error", "_e") if "example_error" in done.columns else done)
+    examples = records.training_examples(done)
     records.raise_first(examples.withColumnRenamed("example_error", "error").select("line_no", "error"))
     for name in split.SPLITS:
         files.write_json_lines(examples.where(F.col("split") == name).orderBy("order_key").select("query", "pos", "neg"), getattr(a, name))
@@ -135,4 +135,7 @@ def main(argv: list[str] | None = None) -> int:
 
 
 if __name__ == "__main__":
-    raise SystemExit(main())
+    try:
+        raise SystemExit(main())
+    except KeyboardInterrupt:
+        raise SystemExit(130) from None
