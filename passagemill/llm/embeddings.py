@@ -1,9 +1,10 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 A vector is described by its LISTS nearest pivots, in order; the pivots are fitted on a bounded sample (SAMPLE vectors,
-by hash of id; their number grows as the square root of the rows up to MOST_PIVOTS), and every vector is indexed. Each
-pivot has an inverted list per label; vectors of one list that share at least SHARED of their pivots are candidates, and
-are verified by cosine in double precision. A pair is handled only in the list of its first common pivot, so it counts
+by hash of id; their number grows as the square root of the rows up to MOST_PIVOTS), and every vector is indexed. Pivots
+lie far apart, below cosine APART, so a large group of near copies holds one of them and its vectors agree on the others.
+Each pivot has an inverted list per label; vectors of one list that share at least SHARED of their pivots (all, if there
+are fewer) are candidates, and are verified by cosine in double precision. A pair is handled only in the list of its first common pivot, so it counts
 once. Long lists are dealt to blocks of BLOCK vectors; each pair of blocks is one task, which returns counts and a
 spanning set of links, never pairs.
 
@@ -27,6 +28,7 @@ from .shared import components, table, written
 
 COSINE = 0.93
 SAMPLE, MOST_PIVOTS, LISTS, SHARED = 4096, 1024, 12, 2
+APART = 0.7
 BLOCK = 1024
 
 
@@ -70,18 +72,23 @@ def linked(ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray, list_of: int,
     has = np.zeros((len(ids), len(names)), np.float32)
     has[np.arange(len(ids))[:, None], codes.reshape(pivots.shape)] = 1
     before = has[:, : np.searchsorted(names, list_of)]
-    found = (rows @ rows.T >= COSINE) & (has @ has.T >= SHARED) & (before @ before.T == 0)
-    np.fill_diagonal(found, False)
+    one, two = (slice(None), slice(None)) if first is None else (slice(0, first), slice(first, None))
+    found = (has[one] @ has[two].T >= min(SHARED, pivots.shape[1])) & (before[one] @ before[two].T == 0)
+    found &= rows[one] @ rows[two].T >= COSINE
+    if first is None:
+        np.fill_diagonal(found, False)
+    n, low, most = np.zeros(len(ids), np.int64), ids.copy(), np.iinfo(np.int64).max
+    n[one] += found.sum(1)
     if first is not None:
-        found[:first, :first] = False
-        found[first:, first:] = False
-    low, most = ids.copy(), np.iinfo(np.int64).max
+        n[two] += found.sum(0)
     while found.any():
-        then = np.minimum(low, np.where(found, low[None, :], most).min(1))
+        then = low.copy()
+        then[one] = np.minimum(low[one], np.where(found, low[two], most).min(1, initial=most))
+        then[two] = np.minimum(then[two], np.where(found, then[one][:, None], most).min(0, initial=most))
         if (then == low).all():
             break
         low = then
-    return found.sum(1), low
+    return n, low
 
 
 def _join(key: tuple, group: pa.Table) -> pa.Table:
@@ -97,11 +104,22 @@ def _join(key: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"vec_id": pa.array(ids[order][hit], pa.int64()), "n": pa.array(n[hit], pa.int64()), "low": pa.array(low[hit], pa.int64())})
 
 
+def apart(rows: np.ndarray, most: int) -> np.ndarray:
+    """Up to most of the rows, each the farthest from those before it, until all others are within cosine APART of one."""
+    if not len(rows):
+        return rows
+    out, near = [0], rows @ rows[0]
+    while len(out) < most and near.min() < APART:
+        out.append(int(near.argmin()))
+        near = np.maximum(near, rows @ rows[out[-1]])
+    return rows[out]
+
+
 def fitted(vectors: DataFrame) -> np.ndarray:
     """Pivots from a bounded sample of the vectors."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     _, rows = unit([r[0] for r in rows])
-    return rows[: min(MOST_PIVOTS, max(2 * LISTS, math.isqrt(vectors.count())))]
+    return apart(rows, min(MOST_PIVOTS, max(2 * LISTS, math.isqrt(vectors.count()))))
 
 
 def clustered(vectors: DataFrame) -> DataFrame:

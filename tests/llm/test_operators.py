@@ -115,6 +115,36 @@ def test_vectors_in_blocks(monkeypatch):
     assert abs(total - want).sum() <= 0.01 * want.sum() and (total <= want).all()
 
 
+@pytest.mark.parametrize("inner", [0.95, 0.9, 0.6])
+def test_vectors_of_a_large_group(inner):
+    """Recall against all pairs in a group that holds a third of the rows, with hundreds of pivots."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=64)
+    base /= np.linalg.norm(base)
+    noise = rng.normal(size=(1365, 64))
+    group = math.sqrt(inner) * base + math.sqrt(1 - inner) * noise / np.linalg.norm(noise, axis=1)[:, None]
+    copies = group[:300] + 0.03 * rng.normal(size=(300, 64))
+    sample = np.concatenate([group, rng.normal(size=(2731, 64))])
+    sample, rows = (x / np.linalg.norm(x, axis=1)[:, None] for x in (rng.permutation(sample), np.concatenate([group[:300], copies])))
+    pivots = embeddings.apart(sample, 316)
+    near = embeddings.nearest(rows, pivots)
+    has = np.zeros((len(rows), len(pivots)))
+    has[np.arange(len(rows))[:, None], near] = 1
+    want = rows @ rows.T >= embeddings.COSINE
+    assert len(pivots) == 316 and want.sum() > len(rows)
+    assert (want & (has @ has.T >= embeddings.SHARED)).sum() >= 0.999 * want.sum()
+
+
+def test_vectors_of_one_group(spark):
+    """Near copies alone, so few pivots: each link is found."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=64) + 0.2 * rng.normal(size=(900, 64))
+    unit = rows / np.linalg.norm(rows, axis=1)[:, None]
+    df = spark.createDataFrame([(i, 0, list(map(float, v))) for i, v in enumerate(rows)], "vec_id long, label int, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.clustered(df).collect()}
+    assert [got[i] for i in range(900)] == ((unit @ unit.T >= embeddings.COSINE).sum(1) - 1).tolist()
+
+
 # 3
 
 def test_mix(spark):
