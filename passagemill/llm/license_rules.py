@@ -1,5 +1,6 @@
-"""The signature rules of license scans: regexes over lower-cased text, each with a label, two keywords without
-which it cannot match (the gate, one of few, is asked first), a priority (less is stronger) and a weight.
+"""The signature rules of license scans: regexes over lower-cased text, each with a label, two sets of keywords (the gate
+is asked first), a priority (less is stronger) and a weight. Each match holds a keyword of either set once white space is
+one blank; they are read off the pattern, so that no alternative of it is forgotten.
 
 A license has a name, an SPDX identifier and addresses; FORMS are the ways in which texts refer to them, and NOTICES are
 passages by which a license is known without its name. Patterns take any white space between words.
@@ -8,12 +9,14 @@ passages by which a license is known without its name. Patterns take any white s
 from __future__ import annotations
 
 import re
+from re import _constants as _op
+from re import _parser
 from typing import NamedTuple
 
 
 class Rule(NamedTuple):
-    gate: str
-    keyword: str
+    gate: tuple[str, ...]
+    keyword: tuple[str, ...]
     pattern: str
     label: str
     priority: int
@@ -133,20 +136,67 @@ def _edge(pattern: str) -> str:
     return rf"(?<![a-z0-9]){_spaced(pattern)}(?![a-z0-9])"
 
 
+def _needed(pattern) -> list[tuple[str, ...]]:
+    """Sets of literals, the longest first (rare characters count as long); each match of pattern, its white space made one blank, holds one of every set."""
+    out: list[tuple[str, ...]] = []
+    run = ""
+
+    def end() -> None:
+        nonlocal run
+        if run.strip():
+            out.append((re.sub(" +", " ", run),))
+        run = ""
+
+    def walk(items) -> None:
+        nonlocal run
+        for kind, value in items:
+            if kind is _op.LITERAL:
+                run += chr(value)
+            elif kind is _op.SUBPATTERN:
+                walk(value[-1])
+            elif kind is _op.MAX_REPEAT and value[0] == 1 and list(value[2]) == [(_op.IN, [(_op.CATEGORY, _op.CATEGORY_SPACE)])]:
+                run += " "
+            elif kind is _op.BRANCH:
+                end()
+                each = [_needed(x) for x in value[1]]
+                if all(each):
+                    out.append(tuple(sorted({w for x in each for w in x[0]})))
+            elif kind is _op.MAX_REPEAT and value[0] > 0:
+                end()
+                out.extend(_needed(value[2]))
+            elif kind not in (_op.ASSERT, _op.ASSERT_NOT, _op.AT):
+                end()
+
+    walk(pattern)
+    end()
+    return sorted(reversed(out), key=lambda x: -min(len(k) if k.isascii() else 9 for k in x))
+
+
+def needed(pattern: str) -> list[tuple[str, ...]]:
+    return _needed(_parser.parse(pattern))
+
+
+def _rule(pattern: str, part: str, label: str, priority: int, weight: float) -> Rule:
+    """A rule asked by the longest keywords of part, which each match of pattern holds."""
+    keys = needed(pattern)
+    own = needed(part)[0]
+    gate = next((("licen",) for x in keys if len(x) == 1 and "licen" in x[0]), own)
+    other = [x for x in needed(part) if x != gate and not (len(x) == 1 and x[0].strip() in gate)]
+    return Rule(gate, other[0] if other else own, pattern, label, priority, weight)
+
+
 def _rules() -> list[Rule]:
     out = []
-    for label, (names, name, spdx_key, spdx, url) in LICENSES.items():
+    for label, (names, name, _, spdx, url) in LICENSES.items():
         to = LABELS.get(label, label)
-        for key, own in names.items() if isinstance(names, dict) else [(names, name)]:
-            gate = "licen" if own.endswith(_L) or "unlicense" in own else key[:5] if key[:5] in ("cc-by", "cc by") else key
+        for own in names.values() if isinstance(names, dict) else [name]:
             for before, priority, weight in FORMS:
-                out.append(Rule(gate, key, _edge(before + own), to, priority, weight))
-        out.append(Rule("spdx", spdx_key, _spaced(rf"spdx-licen[sc]e-identifier: ?(?:\(?[a-z0-9.+-]+ (?:and|or) )?{spdx}(?![a-z0-9-])"), to, 0, 1.0))
-        out.append(Rule("licen", spdx_key, _edge(rf"(?:licen[sc]es?|licen[sc]e-expression|license_id)[\"']? ?[:=] ?[\"'(]?{spdx}"), to, 1, 0.9))
+                out.append(_rule(_edge(before + own), _spaced(own), to, priority, weight))
+        out.append(_rule(_spaced(rf"spdx-licen[sc]e-identifier: ?(?:\(?[a-z0-9.+-]+ (?:and|or) )?{spdx}(?![a-z0-9-])"), spdx, to, 0, 1.0))
+        out.append(_rule(_edge(rf"(?:licen[sc]es?|licen[sc]e-expression|license_id)[\"']? ?[:=] ?[\"'(]?{spdx}"), spdx, to, 1, 0.9))
         if url:
-            key = url.split(r"\.")[0].split("(")[0]
-            out.append(Rule("licen" if "license" in url.split("(")[0] else key, key, rf"(?:https?://)?(?:www\.)?{url}[a-z0-9./_-]*", to, 1, 1.0))
-    out += [Rule(key, key, _spaced(pattern), label, 3, weight) for key, pattern, label, weight in NOTICES]
+            out.append(_rule(rf"(?:https?://)?(?:www\.)?{url}[a-z0-9./_-]*", url, to, 1, 1.0))
+    out += [_rule(_spaced(pattern), _spaced(pattern), label, 3, weight) for _, pattern, label, weight in NOTICES]
     return out
 
 

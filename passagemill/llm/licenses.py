@@ -1,6 +1,7 @@
 """License scans by ordered signature rules (native: DataFrame functions only).
 
-A text is lower-cased (A-Z) and scanned by the rules whose keyword it holds; a text that holds no keyword is not scanned.
+A text is lower-cased (A-Z) and scanned by the rules whose keywords it holds, with white space
+made one blank; a text that holds none of the first is not scanned.
 Detections are spans; from left to right, a span that lies in the one kept before it goes, unless its rule has a higher
 priority, and of two that overlap in part the one with higher priority stays. Labels of spans that stay are added to
 those of the base phrases, which are looked up word by word. The score is the largest weight of what was found.
@@ -15,22 +16,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .license_rules import RULES
-from .quality import once
+from .quality import once, without
 from .shared import lower_az, table
 
 #: What parts words, of text as it is and in lower case.
 _PARTS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 BASE_WEIGHT = 0.8
-GATES = sorted({r.gate for r in RULES})
+GATES = {k for r in RULES for k in r.gate}
+GATES = sorted(k for k in GATES if not any(x in k for x in GATES - {k}))
+
+
+def flat(text: Column) -> Column:
+    """text with each run of what patterns take for white space as one blank."""
+    return F.regexp_replace(without(text, "\t\n\x0b\f\r", " "), "  +", " ")
 
 
 def spans(text: Column) -> Column:
-    """array<struct<start, end, label, priority, weight>> of all matches of rules whose keyword text holds."""
-    by_key: dict[tuple[str, str], list] = {}
+    """array<struct<start, end, label, priority, weight>> of all matches of rules whose keywords text holds."""
+    by_key: dict[tuple, list] = {}
     for r in RULES:
         by_key.setdefault((r.gate, r.keyword), []).append(F.struct(F.lit(r.pattern).alias("p"), F.lit(r.label).alias("l"), F.lit(r.priority).alias("o"), F.lit(r.weight).alias("w")))
-    rules = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(k).alias("k"), F.array(*rs).alias("r")) for (g, k), rs in sorted(by_key.items(), key=lambda x: x[0])))
-    asked = F.flatten(F.transform(F.filter(rules, lambda x: F.contains(text, x["g"]) & F.contains(text, x["k"])), lambda x: x["r"]))
+    rules = F.array(*(F.struct(F.array(*map(F.lit, g)).alias("g"), F.array(*map(F.lit, k)).alias("k"), F.array(*rs).alias("r")) for (g, k), rs in sorted(by_key.items(), key=lambda x: x[0])))
+    holds = lambda keys, t: F.exists(keys, lambda k: F.contains(t, k))
+    asked = once(flat(text), lambda t: F.flatten(F.transform(F.filter(rules, lambda x: holds(x["g"], t) & holds(x["k"], t)), lambda x: x["r"])))
 
     def matches(r: Column) -> Column:
         def placed(found: Column) -> Column:
@@ -69,8 +77,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text.alias("_text"))
     # lower() changes at least A-Z, so it holds each keyword that the text in lower A-Z holds
-    some = " OR ".join(f"contains(_any, '{k}')" for k in GATES)
-    df = df.withColumn("_any", F.lower("_text")).withColumn("_gate", F.expr(some)).withColumn("_licensed", F.expr("contains(_any, 'license')"))
+    some = " OR ".join(f'contains(_any, "{k}")' for k in GATES)
+    df = df.withColumn("_any", flat(F.lower("_text"))).withColumn("_gate", F.expr(some)).withColumn("_licensed", F.expr("contains(_any, 'license')"))
     low = lower_az(F.col("_text"))
     words = F.array_remove(F.split(low, f"[{_PARTS}]+"), "")
 

@@ -13,7 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from passagemill.llm import classlm, embeddings, html, licenses, minhash, mixing, packing, quality, queries, shared, token_counts, tokens, toxicity
+from passagemill.llm import classlm, embeddings, html, license_rules, licenses, minhash, mixing, packing, quality, queries, shared, token_counts, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -440,6 +440,57 @@ def test_licenses(spark, edge, none, docs):
     assert licenses.scanned(none).count() == 0
 
 
+def _match(items, rng):
+    """A random text that the parsed pattern matches."""
+    out = ""
+    for kind, value in items:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "SUBPATTERN":
+            out += _match(value[-1], rng)
+        elif kind == "BRANCH":
+            out += _match(rng.choice(value[1]), rng)
+        elif kind == "MAX_REPEAT":
+            out += "".join(_match(value[2], rng) for _ in range(rng.randint(value[0], min(value[1], value[0] + 2))))
+        elif kind == "IN":
+            of = [c for c in map(chr, range(127)) if _in(value, c)]
+            out += rng.choice(of)
+        elif kind == "ANY":
+            out += "x"
+    return out
+
+
+def _in(items, c):
+    no, found = False, False
+    for kind, value in items:
+        kind = str(kind)
+        no |= kind == "NEGATE"
+        found |= kind == "LITERAL" and ord(c) == value or kind == "RANGE" and value[0] <= ord(c) <= value[1] or kind == "CATEGORY" and c in " \t\n\x0b\f\r"
+    return found != no
+
+
+def test_license_keywords():
+    """Random matches of each rule, wrapped and doubly spaced ones included, hold its gate and its keyword."""
+    rng, n = random.Random(10), 0
+    for r in license_rules.RULES:
+        tree = license_rules._parser.parse(r.pattern)
+        for _ in range(40):
+            text = _match(tree, rng)
+            if re.search(r.pattern, text):
+                n += 1
+                flat = re.sub(r"[ \t\n\x0b\f\r]+", " ", text)
+                assert any(k in flat for k in r.gate) and any(k in flat for k in r.keyword), (r, text)
+    assert n > 30 * len(license_rules.RULES)
+
+
+def test_licenses_wrapped(spark):
+    texts = {"permission is hereby\ngranted, free of charge, to any person obtaining a copy": "mit", "Academic\r\n  Free\tLicense": "afl", "creative\ncommons": "creative-commons", "All rights\n\nreserved": "proprietary", "SPDX-License-Identifier: 0BSD": "bsd", "no part of this book may be reproduced without permission": "proprietary", "do not distribute": "proprietary", "\u00a9 2020": "copyright", "the Expat license": "mit"}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scanned(df).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(80), r.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 240)]
