@@ -1,6 +1,7 @@
 """Counts of tokens per document in flat token files without an index, by a scan for separators.
 
-A token file is little-endian 16-bit ids, each document followed by the end-of-document id, and nothing else. Files are
+A token file is little-endian 16-bit ids, each document followed by the end-of-document id, and nothing else. The end
+id, 65535, lies above the vocabulary (0 to 49407), so no text, not even a literal <|endoftext|>, yields it. Files are
 read in blocks; each block is searched for the end id as a vector and yields its documents that begin and end in it, and
 what lies before its first and after its last separator. A prefix scan over the blocks of a file stitches those ends to
 documents that cross blocks, however many they cross, and numbers the documents. Ids after the last separator of a file
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import new_path, table, written
 from .tokens import encoded, tokenizer_path
 
-END, BLOCK, FILE_DOCS = 49407, 1 << 20, 4000
+END, BLOCK, FILE_DOCS = 65535, 1 << 20, 4000
 
 
 def _flat(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

@@ -334,6 +334,15 @@ def test_scan_of_blocks(spark, block, tmp_path):
     assert got == [(0, 1, True), (1, 0, True), (2, 6, True), (3, 2, False)]
 
 
+def test_separator_in_text(spark):
+    """A text that spells the tokenizer's own end is one document."""
+    texts = ["a b <|endoftext|> c d", "<|endoftext|>", "", "x"]
+    to = shared.new_path(spark)
+    token_counts.token_files(spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1), to)
+    got = sorted((r["doc"], r["n_tokens"], r["ended"]) for r in token_counts.counted(spark, to).collect())
+    assert got == [(0, 5, True), (1, 1, True), (2, 0, True), (3, 1, True)]
+
+
 def _best_fit(lengths, window):
     bins = []
     for n in sorted(lengths, reverse=True):
