@@ -3,8 +3,9 @@
 A page becomes a tree of its block elements; text between two block boundaries is a block. Every block passes points for
 its length and commas to its element, half of them to the parent and less to further ancestors; an element's points are
 discounted by its link density. The best element is the container; where it lies in an article or main element, that one
-is. Siblings with a fair share of the best points, and headings and paragraphs beside it, are kept as well. Subtrees that
-are page furniture by element, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
+is. Beside an article or main element, siblings with a fair share of the best points, headings and paragraphs are kept as
+well; on a page without, all that is left beside the container and beside each element around it, however short, unless it
+is mostly links. Subtrees that are page furniture by element, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
 cut before scoring; a class alone doesn't cut what holds most of the points of a page without article, unless it names
 comments, adverts or the like.
 
@@ -255,8 +256,20 @@ def extracted(html: str | None) -> str:
     while up is not None and up.name not in ("article", "main"):
         up = up.parent
     kept = {up or best}
+    around: set[Node] = set()
     top = up or best
-    if top.parent is not None and top.name not in ("body", "html", "#root"):
+    if up is None:
+        while top.parent is not None:
+            beside = [x for x in top.parent.kids if x is not top and x.chars]
+            while beside:
+                x = beside.pop()
+                if x.links < 0.3 * x.chars:
+                    kept.add(x)
+                else:
+                    beside += [y for y in x.kids if y.chars and y.name not in HEADINGS]
+            top = top.parent
+            around.add(top)
+    elif top.parent is not None and top.name not in ("body", "html", "#root"):
         limit = max(2.0, 0.2 * seen.get(top, 0))
         for x in top.parent.kids:
             if x is not top and x in seen and x.chars and x.links / x.chars < 0.3:
@@ -265,7 +278,7 @@ def extracted(html: str | None) -> str:
                     kept.add(x)
     inside: dict[Node, bool] = {}
     out = []
-    for node, value, _, _ in live:
+    for node, value, chars, links in live:
         at, chain = node, []
         while at is not None and at not in inside and at not in kept:
             chain.append(at)
@@ -273,6 +286,7 @@ def extracted(html: str | None) -> str:
         ok = at is not None and (at in kept or inside[at])
         for x in chain:
             inside[x] = ok
+        ok = ok or node in around and links < 0.3 * chars
         lists = node
         while lists is not None and lists.name not in ("ul", "ol", "menu", "dir", "article", "main", "body"):
             lists = lists.parent

@@ -68,6 +68,18 @@ def test_html(page, want):
     assert want is None or got == want
 
 
+def test_html_without_article():
+    """Split sections, short paragraphs, lists, tables and bare text all stay; menus and furniture go."""
+    long = "A sentence, with commas, of some length, that goes on, and on, for a while."
+    parts = ["<h2>Title</h2>", "<p>Short.</p>", f"<section><p>{long}</p><p>{long}</p><p>{long}</p></section>", f"<section><p>{long}</p></section>", "<section><p>Brief part</p></section>", "<ul><li>one</li><li>two</li><li>three</li></ul>", "<table><tr><td>cell</td></tr></table>", "<figure><figcaption>A figure</figcaption></figure>", "bare text"]
+    want = ["Title", "Short.", long, long, long, long, "Brief part", "one", "two", "three", "cell", "A figure", "bare text"]
+    menu = "<div><a href=1>Home</a> <a href=2>About</a></div>"
+    rest = "<footer>f</footer><div class='comments'><p>Me too, I think.</p></div>"
+    assert html.extracted(f"<body>{menu}<div>{''.join(parts)}</div>{rest}</body>").split("\n") == want
+    nested = f"<body>{menu}<div id=a>{''.join(f'<div>{x}</div>' for x in parts)}</div>{rest}</body>"
+    assert html.extracted(nested).split("\n") == want
+
+
 def test_html_of_articles(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S)[1]
