@@ -118,11 +118,11 @@ def main(argv: list[str] | None = None) -> int:
         report.save(rep, report.output_dir(a.output_dir, mode, a.encoder))
         print(report.as_text(rep))
         return 0
-    rows = records.raise_first(records.parsed(lines))
+    rows = records.raise_first(records.parsed(lines, whole=a.command == "clean"))
     if a.command == "clean":
         clean.check_pool(rows)
         out = records.raise_first(clean.cleaned(rows, a.negative_count))
-        files.write_json_lines(out.orderBy("line_no").select("query", F.col("positive").alias("positive_document"), "hard_negatives"), a.output)
+        clean.as_json(out.orderBy("line_no")).write.mode("overwrite").text(a.output)
         print(clean.stats(rows, a.negative_count).first().asDict())
         return 0
     done = split.split(rows, (a.train_ratio, a.validation_ratio, a.test_ratio), a.seed, a.compatible_shuffle)

@@ -26,6 +26,14 @@ def is_array(value: Column, path: str) -> Column:
     return F.coalesce(kind(value, path) == "ARRAY", F.lit(False))
 
 
+def with_keys(value: Column | None, keys: dict[str, Column]) -> Column:
+    """The object value, or an empty one, with keys set, as a map of variants."""
+    new = F.create_map(*(x for k, v in keys.items() for x in (F.lit(k), v.cast("variant"))))
+    if value is None:
+        return new
+    return F.map_concat(F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, _: ~k.isin(*keys)), new)
+
+
 def tolerant_object(text: Column) -> Column:
     """The JSON object in a model's answer, as a variant: code fences go; if the rest is no JSON, what stands between the
     first { and the last } is tried; anything but an object is null."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import jsonx
 from ..functions.text import strip
 from .records import FILLED, first_per, ordinal
 
@@ -60,12 +61,20 @@ def cleaned(records: DataFrame, count: int = 7) -> DataFrame:
     pool = positive_pool(records)
     own = disposed(first_queries(records), count)
     fills = slots(own, pool, count)
-    made = F.transform(F.coalesce("fills", F.array().cast("array<struct<shift:bigint,fill:string>>")), lambda x: F.struct(F.lit(0).alias("id"), *(F.lit(v).alias(n) for n, v in zip(("type", "hardness", "violated_requirement"), FILLED)), x["fill"].alias("text")))
+    more = [f for f in records.schema["hard_negatives"].dataType.elementType.fields if f.name not in ("id", "type", "hardness", "violated_requirement", "text")]
+    made = F.transform(F.coalesce("fills", F.array().cast("array<struct<shift:bigint,fill:string>>")), lambda x: F.struct(F.lit(0).alias("id"), *(F.lit(v).alias(n) for n, v in zip(("type", "hardness", "violated_requirement"), FILLED)), x["fill"].alias("text"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in more)))
     both = F.concat(F.col("kept"), made)
     df = own.join(fills, "line_no", "left").withColumn("hard_negatives", F.transform(both, lambda x, i: x.withField("id", (i + 1).cast("int"))))
     return df.drop("kept", "fills", "false_negatives", "duplicates", "truncated").withColumn("error", F.when(F.size("hard_negatives") < count, "not enough distinct documents"))
 
 
+def as_json(records: DataFrame) -> DataFrame:
+    """value: cleaned records of parsed(whole) as JSON, their own keys and those of their negatives kept."""
+    item = lambda x: F.when(x["raw"].isNull(), jsonx.with_keys(None, {k: x[k] for k in ("id", "type", "hardness", "violated_requirement", "text")})).otherwise(jsonx.with_keys(x["raw"], {"id": x["id"], "text": x["text"]}))
+    negatives = F.to_variant_object(F.transform("hard_negatives", item))
+    return records.select(F.to_json(jsonx.with_keys(F.col("value"), {"query": F.col("query"), "positive_document": F.col("positive"), "hard_negatives": negatives}), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def check_pool(records: DataFrame) -> None:
     if len(records.select("positive").distinct().limit(2).collect()) < 2:
         raise ValueError("fewer than 2 distinct positives")

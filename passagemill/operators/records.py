@@ -28,8 +28,9 @@ def strategies(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *x) for i, x in enumerate(STRATEGIES)], "strategy_index int, type string, hardness string")
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """Records of lines (line_no, value as a variant) with error: what is wrong first, or null."""
+def parsed(lines: DataFrame, whole: bool = False) -> DataFrame:
+    """Records of lines (line_no, value as a variant) with error: what is wrong first, or null. With whole, the value
+    stays, and each negative has its own as raw."""
     v = F.col("value")
     item = F.from_json(F.to_json(F.try_variant_get(v, "$.hard_negatives", "variant")), f"array<{ITEM}>")
     items = F.try_variant_get(v, "$.hard_negatives", "array<variant>")
@@ -43,7 +44,9 @@ def parsed(lines: DataFrame) -> DataFrame:
         F.when(bad_item, "a negative has no text"),
         F.when(empty_item, "a negative is empty"),
     )
-    return lines.select("line_no", strip(jsonx.text_at(v, "$.query")).alias("query"), strip(jsonx.text_at(v, "$.positive_document")).alias("positive"), item.alias("hard_negatives"), error.alias("error"))
+    if whole:
+        item = F.transform(item, lambda x, i: x.withField("raw", F.get(items, i)))
+    return lines.select("line_no", *["value"] * whole, strip(jsonx.text_at(v, "$.query")).alias("query"), strip(jsonx.text_at(v, "$.positive_document")).alias("positive"), item.alias("hard_negatives"), error.alias("error"))
 
 
 def candidate_error(text: Column, violated: Column, positive: Column, low: Column, high: Column) -> Column:

@@ -72,6 +72,19 @@ def test_cleaning_like_a_loop(spark):
     assert all([x["id"] for x in r["hard_negatives"]] == [1, 2, 3, 4] and r["error"] is None for r in out.collect())
 
 
+def test_clean_command_keeps_extra_keys(spark, tmp_path, monkeypatch):
+    from passagemill import __main__ as command
+
+    own = {"id": 9, "type": "t", "text": " n1 ", "score": 0.5, "note": None, "tags": [1, {"a": "b"}]}
+    lines = [{"source_index": 4, "query": " q1 ", "positive_document": "d1", "information_need": "need", "critical_requirements": ["r", 2], "empty": None, "hard_negatives": [own, {"text": "n1", "late": 1}, {"text": "d1"}]}, {"query": "q2", "positive_document": "d2", "hard_negatives": []}]
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    monkeypatch.setattr(command, "session", lambda: spark)
+    assert command.main(["clean", str(tmp_path / "in.jsonl"), str(tmp_path / "out"), "--negative-count", "1"]) == 0
+    got = [json.loads(x) for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    filled = {"id": 1, "type": "random_negative", "hardness": "random", "violated_requirement": "Added during dataset cleaning.", "text": "d1"}
+    assert got == [lines[0] | {"query": "q1", "hard_negatives": [own | {"id": 1, "text": "n1"}]}, lines[1] | {"hard_negatives": [filled]}]
+
+
 def test_small_pool_is_an_error(spark):
     df = spark.createDataFrame([(1, "q", "p", [])], f"line_no long, query string, positive string, hard_negatives array<{records.ITEM}>")
     assert clean.cleaned(df, 3).first()["error"] == "not enough distinct documents"
