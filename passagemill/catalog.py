@@ -2,7 +2,9 @@
 
 Inputs are derived alike on both sides: pairs from the first user and assistant turns of a conversation; records from
 documents, whose negatives are the texts of other documents at fixed offsets; searches from a quarter of the embeddings
-with all but their first 8 dimensions cleared.
+with all but their first 8 dimensions cleared. normalize and dot_scores are over these searches; normalize_all and
+dot_scores_all over every vector and position. Likewise the JSON and validation queries read hand-made lines, and those
+named _all a line per document.
 """
 
 from __future__ import annotations
@@ -231,6 +233,18 @@ def _dot_scores(s, d):
     return q.join(v, q["query_index"] == v["doc_index"]).select("query_index", F.round(retrieval.dot(q["embedding"], v["embedding"]), 6).alias("score"))
 
 
+def _normalize_all(s, d):
+    v = retrieval.normalize(_read(s, d, "embeddings").select("vec_id", "embedding"))
+    return v.select("vec_id", F.posexplode("embedding").alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
+
+
+def _dot_scores_all(s, d):
+    """Each vector as it is with its normalised form: its norm, from all positions."""
+    raw = _read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("raw"))
+    v = retrieval.normalize(_read(s, d, "embeddings").select("vec_id", "embedding"))
+    return raw.join(v, "vec_id").select("vec_id", F.round(retrieval.dot(F.col("raw"), F.col("embedding")), 6).alias("score"))
+
+
 def _topk(s, d):
     return retrieval.neighbours(*_searches(s, d)).select("query_index", "doc_index", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
@@ -254,6 +268,28 @@ def _parse_json(s, d):
     return _inline(s, ANSWERS).withColumn("v", v).select("line_no", F.col("v").isNotNull().alias("object"), jsonx.text_at(F.col("v"), "$.text").alias("text"), jsonx.text_at(F.col("v"), "$.violated_requirement").alias("violated_requirement"))
 
 
+def _parse_json_all(s, d):
+    """An answer per document: bare, fenced or in prose."""
+    answer = F.to_json(F.struct("text", F.col("lang").alias("violated_requirement")))
+    line = F.when(F.col("doc_id") % 3 == 0, answer).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).otherwise(F.concat(F.lit("Sure: "), answer, F.lit(" done")))
+    v = F.col("v")
+    return _read(s, d, "documents").select("doc_id", jsonx.tolerant_object(line).alias("v")).select("doc_id", v.isNotNull().alias("object"), F.md5(jsonx.text_at(v, "$.text")).alias("text"), jsonx.text_at(v, "$.violated_requirement").alias("violated_requirement"))
+
+
+def _validate_all(s, d):
+    """A candidate per document: its positive, a blank, its positive and a word, or one word."""
+    kind, positive = F.col("doc_id") % 4, strip(F.col("text"))
+    text = F.when(kind == 0, positive).when(kind == 1, F.lit("  ")).when(kind == 2, F.concat(positive, F.lit(" more"))).otherwise(F.lit("one"))
+    df = _read(s, d, "documents").select("doc_id", positive.alias("positive"), text.alias("text"), F.when(F.col("doc_id") % 5 == 0, F.lit(" ")).otherwise(F.lit("v")).alias("violated_requirement"))
+    return records.validated(df, 0.5).select("doc_id", "error")
+
+
+def _eval_checks_all(s, d):
+    """An evaluation line per document; every seventh lacks its positive."""
+    line = F.to_json(F.struct("query", F.when(F.col("source_index") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("positive")).alias("pos"), F.array().cast("array<string>").alias("neg")))
+    return records.evaluation_errors(_records(s, d).select("line_no", F.try_parse_json(line).alias("value"))).select("line_no", "error")
+
+
 def _validate(s, d):
     df = _inline(s, ANSWERS).withColumn("v", jsonx.tolerant_object(F.col("line"))).select("line_no", F.lit("the one").alias("positive"), jsonx.text_at(F.col("v"), "$.text").alias("text"), jsonx.text_at(F.col("v"), "$.violated_requirement").alias("violated_requirement"))
     return records.validated(df, 0.5).select("line_no", "error")
@@ -353,6 +389,8 @@ QUERIES = {
     "l2_norms": (_l2_norms, "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings"),
     "normalize": (_normalize, f"WITH {_VEC} SELECT query_index, i AS at, round(embedding[i + 1], 6) AS x FROM q, (SELECT unnest(range(8)) AS i)"),
     "dot_scores": (_dot_scores, f"WITH {_VEC} SELECT query_index, round(list_inner_product(q.embedding, v.embedding), 6) AS score FROM q JOIN v ON query_index = doc_index"),
+    "normalize_all": (_normalize_all, f"WITH {_VEC} SELECT doc_index AS vec_id, i AS at, round(embedding[i + 1], 6) AS x FROM (SELECT doc_index, embedding, unnest(range(len(embedding))) AS i FROM v)"),
+    "dot_scores_all": (_dot_scores_all, f"WITH {_VEC} SELECT vec_id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), v.embedding), 6) AS score FROM embeddings e JOIN v ON vec_id = doc_index"),
     "topk_neighbors": (_topk, f"WITH {_VEC} SELECT query_index, doc_index, rank, round(score, 6) AS score FROM top"),
     "relevant_rank": (_relevant_rank, f"WITH {_VEC} SELECT q.query_index, rank FROM q LEFT JOIN top ON top.query_index = q.query_index AND doc_index = q.query_index"),
     "retrieval_metrics": (_metrics, f"WITH {_VEC}, r AS (SELECT q.query_index, rank FROM q LEFT JOIN top ON top.query_index = q.query_index AND doc_index = q.query_index) SELECT count(*) AS query_count, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END), 6) AS mrr_at_10 FROM r"),
@@ -360,6 +398,11 @@ QUERIES = {
     "validate_candidates": (_validate, f"WITH {_JSON} SELECT line_no, CASE WHEN coalesce(trim(text), '') = '' THEN 'text is missing' WHEN coalesce(trim(violated_requirement), '') = '' THEN 'violated_requirement is missing' WHEN trim(text) = 'the one' THEN 'identical to the positive' WHEN {_WORDS('text')} NOT BETWEEN 1 AND 3 THEN 'word count out of bounds' END AS error FROM f"),
     "validate_combined": (_validate_combined, None),
     "eval_record_checks": (_eval_checks, None),
+    "parse_json_all": (_parse_json_all, "SELECT doc_id, true AS object, md5(text) AS text, lang AS violated_requirement FROM documents"),
+    "validate_all": (_validate_all, f"""WITH ws AS (SELECT {_WS} AS ws), p AS (SELECT doc_id, trim(text, ws) AS positive FROM documents, ws), c AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN positive WHEN 1 THEN '' WHEN 2 THEN positive || ' more' ELSE 'one' END AS text, {_WORDS('positive')} AS n FROM p)
+ SELECT doc_id, CASE WHEN text = '' THEN 'text is missing' WHEN doc_id % 5 = 0 THEN 'violated_requirement is missing' WHEN text = positive THEN 'identical to the positive' WHEN {_WORDS('text')} NOT BETWEEN greatest(1, n - floor(n * 0.5::DOUBLE)) AND n + floor(n * 0.5::DOUBLE) THEN 'word count out of bounds' END AS error FROM c"""),
+    "eval_record_checks_all": (_eval_checks_all, f"""WITH {_REC}, own AS (SELECT line_no, query, CASE WHEN query = '' THEN 'invalid query' WHEN source_index % 7 = 0 THEN 'not exactly one positive' END AS error FROM rec)
+ SELECT line_no, coalesce(error, CASE WHEN line_no > min(line_no) FILTER (error IS NULL) OVER (PARTITION BY query) THEN 'duplicate query' END) AS error FROM own"""),
     "state_latest": (_state_latest, f"WITH {_STATE} SELECT * FROM last"),
     "state_compacted": (_state_compacted, f"WITH {_STATE} SELECT source_index, strategy_index FROM last WHERE source_index % 3 <> 0"),
     "error_summary": (_error_summary, None),
