@@ -1,32 +1,33 @@
 """Quality rules with thresholds that adapt to language and source (native: DataFrame functions only).
 
-Each metric of a document is put into a bin of fixed width; the counts of bins are a quantile sketch that merges by
-addition, so partial aggregates, sources and languages combine exactly and in any order. A group's cut-off is its third
-quartile plus a margin: the larger of a multiple of its interquartile range and a floor that keeps a group without
-spread from rejecting ordinary documents. A group with fewer than min_docs documents takes its language's merged sketch,
-and a small language the sketch of the whole corpus. Documents above any cut-off of their group are rejected.
+Each metric of a document, in whole thousandths, goes into a KLL quantile sketch of its language and source. Sketches
+merge, so those of the sources of a language, and of all languages, are made of theirs without another pass. A group's
+cut-off lies above its upper octile by SPREAD times the distance from its median, or by the metric's resolution where
+most documents have the same value (as none of a symbol) and the distance says nothing. A group with fewer than min_docs
+documents takes its language's merged sketch, and a small language the sketch of the whole corpus. Documents above any
+cut-off of their group are rejected. A sketch is exact for up to K documents and then off by some 0.1 % in rank.
 
 Nulls: a null text has no words (base_failed); null lang or source is a group of its own. Empty tables give empty
-results. Extra columns stay, unless they bear the name of a metric: that column is replaced. Repeated rows count.
+results. Extra columns stay in filtered(), whatever their names; rated() returns its own columns only. Repeated rows
+count as often as they occur; a document at a cut-off stays; texts of any length are measured whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import GAP, written
+from .shared import GAP, unused, written
 
-#: metric: (numerator, denominator, least margin over the third quartile), in thousandths.
+#: metric: (numerator, denominator, resolution), in thousandths.
 METRICS = {
     "symbol_share": ("n_symbols", "word_chars", 50),
     "dup_line_share": ("n_dup_lines", "n_lines", 400),
     "repeat_share": ("n_repeat_words", "n_words", 300),
-    "word_length": ("word_chars", "n_words", 6000),
+    "word_length": ("word_chars", "n_words", 500),
 }
-#: Bins end at this many thousandths; longer words count as this.
-TOP = 100_000
-SPREAD, MIN_DOCS = 3, 30
+#: The upper quantile that cut-offs start from (a binary fraction, so that ranks are exact), their distance, and the sketches' size.
+UPPER, SPREAD, MIN_DOCS, K = 0.875, 4, 30, 2000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
 
@@ -69,74 +70,75 @@ def repeat_words(words: Column) -> Column:
     return F.when(twice, once(once(full, covered), total)).otherwise(F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with the columns of MEASURES."""
+def measured(docs: DataFrame, into: str) -> DataFrame:
+    """docs with a struct column into: MEASURES, the metrics in whole thousandths, and base_failed."""
     text = F.coalesce("text", F.lit(""))
-    df = docs.withColumn("_words", F.array_remove(F.split(without(text, "\t\n\x0b\f\r", " "), " "), ""))
-    df = df.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^{GAP}]"))))
+    words = unused(docs, "_words")
+    df = docs.withColumn(words, F.array_remove(F.split(without(text, "\t\n\x0b\f\r", " "), " "), ""))
+    lines = unused(df, "_lines")
+    df = df.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^{GAP}]"))))
     found = {
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size(words).cast("long"),
         "word_chars": F.length(without(text, " \t\n\x0b\f\r")).cast("long"),
         "n_symbols": (F.length(text) - F.length(without(text, "#*$%&|<>"))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_words")),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeat_words(F.col(words)),
     }
     # one row by explode: filters on measures must not be pushed below, where each use would compute them anew
     one_row = F.explode(F.array(F.struct(*(x.alias(m) for m, x in found.items()))))
-    return df.withColumn("_measures", one_row).select(*(c for c in docs.columns if c not in MEASURES), "_measures.*")
+    df = df.select(*(F.col(f"`{c}`") for c in docs.columns), one_row.alias(into))
+    part = lambda a, b: F.expr(f"CAST(CASE WHEN {into}.{b} > 0 THEN {into}.{a} * 1000 DIV {into}.{b} ELSE 0 END AS BIGINT)")
+    failed = F.expr(f"{into}.n_words < 50 OR 100 * {into}.n_repeat_words > 50 * {into}.n_words")
+    return df.withColumn(into, F.struct(f"{into}.*", *(part(a, b).alias(m) for m, (a, b, _) in METRICS.items()), failed.alias("base_failed")))
 
 
-def shares(df: DataFrame) -> DataFrame:
-    """Adds each metric in whole thousandths and base_failed."""
-    part = lambda a, b: F.expr(f"CAST(CASE WHEN {b} > 0 THEN least({a} * 1000 DIV {b}, {TOP}) ELSE 0 END AS BIGINT)")
-    return df.withColumns({m: part(a, b) for m, (a, b, _) in METRICS.items()}).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+def sketches(df: DataFrame, of: str) -> DataFrame:
+    """lang, source, docs and a sketch per metric, of the documents of measured() that pass the base rules."""
+    own = df.where(f"NOT {of}.base_failed")
+    return own.groupBy("lang", "source").agg(F.count("*").alias("docs"), *(F.kll_sketch_agg_bigint(f"{of}.{m}", K).alias(m) for m in METRICS))
 
 
-def sketch(df: DataFrame) -> DataFrame:
-    """(lang, source, metric, bin, n): counts of bins, of documents that pass the base rules."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("bin")) for m in METRICS)))
-    return df.where("NOT base_failed").select("lang", "source", pairs.alias("e")).select("lang", "source", "e.*").groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
+def cutoffs(found: DataFrame) -> Column:
+    """A struct of the cut-off of each metric, from its sketch."""
+    q = lambda m, p: F.kll_sketch_get_quantile_bigint(m, F.lit(p))
+    return F.struct(*((q(m, UPPER) + F.greatest(SPREAD * (q(m, UPPER) - q(m, 0.5)), F.lit(least))).cast("long").alias(m) for m, (_, _, least) in METRICS.items()))
 
 
-def cutoffs(bins: DataFrame, keys: list[str], spread: int = SPREAD) -> DataFrame:
-    """A cut-off per group of keys and metric, from the sketch merged to those keys."""
-    merged = bins.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "metric")
-    upto = merged.withColumns({"upto": F.sum("n").over(group.orderBy("bin")), "docs": F.sum("n").over(group)})
-    found = upto.groupBy(*keys, "metric").agg(F.max("docs").alias("docs"), F.min(F.expr("CASE WHEN 4 * upto >= docs THEN bin END")).alias("q1"), F.min(F.expr("CASE WHEN 4 * upto >= 3 * docs THEN bin END")).alias("q3"))
-    margin = F.create_map(*(F.lit(x) for m, (_, _, least) in METRICS.items() for x in (m, least)))
-    return found.select(*keys, "metric", "docs", (F.col("q3") + F.greatest(spread * (F.col("q3") - F.col("q1")), margin[F.col("metric")])).cast("long").alias("cut"))
+def thresholds(own: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """lang, source, docs and cut, a struct of cut-offs by metric, of each group of sketches()."""
+    merged = [F.sum("docs").alias("docs"), *(F.kll_merge_agg_bigint(m).alias(m) for m in METRICS)]
+    by_lang = own.groupBy("lang").agg(*merged)
+    whole = by_lang.agg(*merged).select(F.lit(1).alias("one"), cutoffs(by_lang).alias("all_cut"))
+    by_lang = by_lang.select(F.col("lang").alias("of_lang"), F.col("docs").alias("lang_docs"), cutoffs(by_lang).alias("lang_cut"))
+    groups = own.select("lang", "source", "docs", cutoffs(own).alias("cut"), F.lit(1).alias("one"))
+    best = F.when(F.col("docs") >= min_docs, F.col("cut")).when(F.col("lang_docs") >= min_docs, F.col("lang_cut")).otherwise(F.col("all_cut"))
+    return groups.join(by_lang, F.expr("lang <=> of_lang")).join(whole, "one").select("lang", "source", "docs", best.alias("cut"))
 
 
-def thresholds(bins: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row per lang and source that the sketch holds, a column cut_<metric> for each metric."""
-    own = cutoffs(bins, ["lang", "source"])
-    lang = cutoffs(bins, ["lang"]).select(F.col("lang").alias("l"), F.col("metric").alias("lm"), F.col("docs").alias("l_docs"), F.col("cut").alias("l_cut"))
-    all_ = cutoffs(bins, []).select(F.col("metric").alias("am"), F.col("cut").alias("a_cut"))
-    best = own.join(lang, F.expr("lang <=> l AND metric = lm")).join(all_, F.expr("metric = am")).select("lang", "source", "metric", F.expr(f"CASE WHEN docs >= {min_docs} THEN cut WHEN l_docs >= {min_docs} THEN l_cut ELSE a_cut END").alias("cut"))
-    return best.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == m, F.col("cut"))).alias(f"cut_{m}") for m in METRICS))
-
-
-def judged(df: DataFrame, cuts: DataFrame) -> DataFrame:
-    """df with kept: false for base_failed, or a metric above its group's cut-off."""
-    own = cuts.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *(F.col(f"cut_{m}").alias(f"_cut_{m}") for m in METRICS))
-    over = " OR ".join(f"coalesce({m} > _cut_{m}, false)" for m in METRICS)
-    return df.join(own, F.expr("lang <=> _l AND source <=> _s"), "left").withColumn("kept", F.expr(f"NOT base_failed AND NOT ({over})")).drop("_l", "_s", *(f"_cut_{m}" for m in METRICS))
+def judged(df: DataFrame, of: str, cuts: DataFrame, into: str) -> DataFrame:
+    """df of measured() with into: false for base_failed, or a metric above its group's cut-off."""
+    lang, source = unused(df, "_lang"), unused(df, "_source")
+    cut = unused(df, "_cut")
+    own = cuts.select(F.col("lang").alias(lang), F.col("source").alias(source), F.col("cut").alias(cut))
+    over = " OR ".join(f"coalesce({of}.{m} > {cut}.{m}, false)" for m in METRICS)
+    out = df.join(own, F.expr(f"lang <=> {lang} AND source <=> {source}"), "left")
+    return out.withColumn(into, F.expr(f"NOT {of}.base_failed AND NOT ({over})")).drop(lang, source, cut)
 
 
 def rated(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, measures, metrics, base_failed and kept of every document; texts are read once."""
-    df = written(shares(measured(docs.select("doc_id", "lang", "source", "text"))).drop("text"))
-    return judged(df, thresholds(sketch(df)))
+    df = written(measured(docs.select("doc_id", "lang", "source", "text"), "m").drop("text"))
+    return judged(df, "m", written(thresholds(sketches(df, "m"))), "kept").select("doc_id", "lang", "source", "m.*", "kept")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. Measures are taken once for the sketch and once more beside the
-    texts, which costs less than carrying texts through a join by document."""
-    cols = docs.columns
-    cuts = written(thresholds(sketch(shares(measured(docs.select("doc_id", "lang", "source", "text"))))))
-    return judged(shares(measured(docs)), cuts).where("kept").select(*cols)
+    """The documents that pass, with their own columns. They are written beside their measures, which cost ten times as
+    much to take again."""
+    of = unused(docs, "_quality")
+    df = written(measured(docs, of))
+    kept = unused(df, "_kept")
+    return judged(df, of, written(thresholds(sketches(df, of))), kept).where(f"`{kept}`").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
@@ -146,24 +148,22 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def op5_sql() -> str:
-    """The same rules for DuckDB."""
+    """The same rules for DuckDB, with exact quantiles: those of sketches of at most K documents."""
     ws = r"[^\x20\x09-\x0D]"
-    metric = ", ".join(f"CAST(CASE WHEN {b} > 0 THEN least({a} * 1000 // {b}, {TOP}) ELSE 0 END AS BIGINT) AS {m}" for m, (a, b, _) in METRICS.items())
-    margin = "CASE metric " + " ".join(f"WHEN '{m}' THEN {least}" for m, (_, _, least) in METRICS.items()) + " END"
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS bin FROM shares WHERE NOT base_failed" for m in METRICS)
+    metric = ", ".join(f"CAST(CASE WHEN {b} > 0 THEN {a} * 1000 // {b} ELSE 0 END AS BIGINT) AS {m}" for m, (a, b, _) in METRICS.items())
 
     def cut(name: str, keys: str) -> str:
-        by = f"{keys}, " if keys else ""
-        return f"""{name} AS (SELECT {by}metric, max(docs) AS docs, min(CASE WHEN 4 * upto >= 3 * docs THEN bin END) + greatest({SPREAD} * (min(CASE WHEN 4 * upto >= 3 * docs THEN bin END) - min(CASE WHEN 4 * upto >= docs THEN bin END)), {margin}) AS cut
- FROM (SELECT *, sum(n) OVER (PARTITION BY {by}metric ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS docs FROM (SELECT {by}metric, bin, count(*) AS n FROM bins GROUP BY {by}metric, bin)) GROUP BY {by}metric)"""
+        each = ", ".join(f"quantile_disc({m}, {UPPER}) + greatest({SPREAD} * (quantile_disc({m}, {UPPER}) - quantile_disc({m}, 0.5)), {least}) AS {m}" for m, (_, _, least) in METRICS.items())
+        return f"{name} AS (SELECT {keys}{', ' if keys else ''}count(*) AS docs, {each} FROM shares WHERE NOT base_failed {'GROUP BY ' + keys if keys else ''})"
 
-    over = " OR ".join(f"coalesce({m} > (SELECT c.cut FROM cuts c WHERE c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source AND c.metric = '{m}'), false)" for m in METRICS)
+    best = ", ".join(f"CASE WHEN own.docs >= {MIN_DOCS} THEN own.{m} WHEN by_lang.docs >= {MIN_DOCS} THEN by_lang.{m} ELSE whole.{m} END AS {m}" for m in METRICS)
+    over = " OR ".join(f"coalesce(s.{m} > c.{m}, false)" for m in METRICS)
     return f"""WITH split AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{ws}+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{ws}')) AS lines FROM documents),
  windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM split WHERE len(w) > 2)),
  twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM windows) WHERE n > 1),
  repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
  counted AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM split LEFT JOIN repeats USING (doc_id)),
  shares AS (SELECT *, {metric}, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM counted),
- bins AS ({rows}), {cut('own', 'lang, source')}, {cut('by_lang', 'lang')}, {cut('whole', '')},
- cuts AS (SELECT own.lang, own.source, own.metric, CASE WHEN own.docs >= {MIN_DOCS} THEN own.cut WHEN by_lang.docs >= {MIN_DOCS} THEN by_lang.cut ELSE whole.cut END AS cut FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang AND own.metric = by_lang.metric JOIN whole ON own.metric = whole.metric)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT ({over})) AS kept FROM shares s"""
+ {cut('own', 'lang, source')}, {cut('by_lang', 'lang')}, {cut('whole', '')},
+ cuts AS (SELECT own.lang, own.source, {best} FROM own JOIN by_lang ON own.lang IS NOT DISTINCT FROM by_lang.lang CROSS JOIN whole)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND NOT ({over})) AS kept FROM shares s LEFT JOIN cuts c ON s.lang IS NOT DISTINCT FROM c.lang AND s.source IS NOT DISTINCT FROM c.source"""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters between words, as a Java or Python class body.
@@ -15,9 +16,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share; a local one only where none is set and all run in one process, as in
+    tests. A cluster without one is an error: what executors write to their own disks is lost to others."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="passagemill-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -43,6 +47,14 @@ def drop(df: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added until no column of df bears it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,27 +77,32 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
+def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, root): the smallest node each node of edges (a, b) can reach. Nodes without an edge are not in it.
 
-    Alternates large-star and small-star; each round is a partial aggregation and a join, so a hub is never gathered
-    into one row, and is written to the shared folder.
+    Alternates large-star and small-star until nothing moves, some log^2 of the nodes; each round is written to the
+    shared folder. Least neighbours are partial aggregations. They are joined to the edges by a key of their own, so that
+    both sides of the join are plain exchanges and Spark splits the one that a hub has made long.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    def lows(df: DataFrame, least) -> DataFrame:
+        return df.groupBy("a").agg(least.alias("low")).select(F.col("a").bitwiseXOR(F.lit(0).cast("long")).alias("key"), "low")
+
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     if now.isEmpty():
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     for _ in range(most):
         both = now.union(now.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        then = written(small)
+        low = lows(both, F.least(F.min("b"), F.first("a")))
+        large = both.join(low, F.col("a") == F.col("key")).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = lows(large, F.min("b"))
+        small = large.join(low, F.col("a") == F.col("key")).select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        mark = Observation()
+        then = written(small.observe(mark, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")))
         drop(now)
         now = then
-        mark = now.agg(F.count("*"), F.sum("b"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if mark == seen:
+        if mark.get == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
+        seen = mark.get
     raise RuntimeError(f"components: no fixed point after {most} rounds")
