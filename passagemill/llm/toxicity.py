@@ -6,14 +6,19 @@ a line is trained on those by gradient ascent on the conditional likelihood, wit
 features are a token's word, beginnings and ending. For every document the marginals of its tokens give the largest, and
 their sum; a logistic of both, fitted on the same sample, is the score. Tokens with a marginal of at least 0.5 are spans.
 
-The model is fitted on a bounded sample: at most SAMPLE labelled documents of each class, by hash of id, whole texts.
-Scoring reads every whole text. Nulls: a null or empty text has no tokens and gets the score of none. A label of a
-document that has several is the largest; labels without documents do not matter. Without labels of both classes every
-score is the share of toxic labels, 0 if there are none. Extra columns stay; score, predicted and spans are replaced.
+The model is fitted in one executor task on a bounded sample: at most SAMPLE labelled documents of each class, by hash of
+id, one text of each (the one of least hash where an id has several), whole texts with all their lines, until
+SAMPLE_BYTES of text. The driver gets the packed weights only. Scoring reads every whole text, however long. Nulls: a null
+or empty text has no tokens and gets the score of none; a null id is scored like any other. A label of a document that
+has several is the largest; labels without documents do not matter. Without labels of both classes every score is the
+share of toxic labels, 0 if there are none. A score of exactly 0.5 is toxic. Repeated rows get equal scores. scored()
+replaces columns named score, predicted or spans; filtered() returns the columns that it got, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from .shared import held_out, table
+from .shared import held_out, table, unused
 
-SAMPLE = 2000
+SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
 #: Of a word or beginning that marks tokens: least toxic documents, and least log of odds.
 LEAST_DOCS, LEAST_ODDS = 3, 2.5
 BEGINNINGS = (4, 5, 6)
@@ -46,9 +51,9 @@ def features(token: str) -> list[str]:
 
 @dataclass
 class Model:
-    """weights: by feature, of state 1 against 0. chain: log weights of state pairs, from row to column."""
+    """packed: pickled weights by feature, of state 1 against 0. chain: log weights of state pairs, from row to column."""
 
-    weights: dict[str, float] = field(default_factory=dict)
+    packed: bytes = field(default_factory=lambda: pickle.dumps({}))
     chain: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     logistic: tuple[float, ...] = (0.0, 0.0, 0.0)
     constant: float | None = None
@@ -129,55 +134,62 @@ def marks(texts: list[str], labels: list[int]) -> set[str]:
     return {f for f, k in toxic.items() if np.log((k + 0.1) / n[1]) - np.log((clean[f] + 0.5) / n[0]) >= LEAST_ODDS}
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 12, batch: int = 256, longest: int = 48, seed: int = 7) -> Model:
-    one: dict[str, str] = {}  # a token is kept once, however often it occurs
+def _batches(lengths: np.ndarray, rows: int, cells: int) -> list[np.ndarray]:
+    """Lines of like length together, at most so many and so many padded cells, but one at least."""
+    out, order, k = [], np.argsort(lengths, kind="stable"), 0
+    while k < len(order):
+        end = k + 1
+        while end < len(order) and end - k < rows and (end - k + 1) * lengths[order[end]] <= cells:
+            end += 1
+        out.append(order[k:end])
+        k = end
+    return out
+
+
+def train(texts: list[str], labels: list[int], rounds: int = 8, batch: int = 256, cells: int = 1 << 16, seed: int = 7) -> Model:
+    """A line is a chain, however long; all lines of the texts count."""
     marked = marks(texts, labels)
+    number: dict[str, int] = {}  # tokens by order of appearance
     lines, golds = [], []
     toxic: dict[str, float] = {}
     for text, y in zip(texts, labels):
         for line in text.split("\n"):
-            tokens = line.split()
-            for s in range(0, len(tokens), longest):  # of training only
-                part = [one.setdefault(t, t) for t in tokens[s : s + longest]]
-                for t in part if y else ():
-                    if t not in toxic:
-                        toxic[t] = float(any(f in marked for f in features(t)[:-2]))
-                gold = np.array([toxic[t] for t in part]) if y else np.zeros(len(part))
-                lines.append(part)
-                golds.append(gold)
-    rng = np.random.default_rng(seed)
-    yes = [i for i, g in enumerate(golds) if g.any()]
-    no = [i for i, g in enumerate(golds) if not g.any()]
-    used = yes + [no[i] for i in rng.permutation(len(no))[: max(2000, 2 * len(yes))]]
+            if tokens := line.split():
+                lines.append(np.array([number.setdefault(t, len(number)) for t in tokens], np.int32))
+                if y:
+                    for t in tokens:
+                        if t not in toxic:
+                            toxic[t] = float(any(f in marked for f in features(t)[:-2]))
+                    golds.append(np.array([toxic[t] for t in tokens], np.float32))
+                else:
+                    golds.append(np.zeros(len(tokens), np.float32))
+    if not lines:
+        return Model(constant=float(np.mean(labels)))
+    often = np.bincount(np.concatenate(lines), minlength=len(number))
     count: Counter = Counter()
-    for t, n in Counter(t for i in used for t in lines[i]).items():
+    for t, n in zip(number, often.tolist()):
         for f in features(t):
             count[f] += n
     ids = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 2))}
     wide = len(BEGINNINGS) + 3
-    coded: dict[str, np.ndarray] = {}
-
-    def code(token: str) -> np.ndarray:
-        if token not in coded:
-            own = [ids[f] for f in features(token) if f in ids]
-            coded[token] = np.array(own + [len(ids)] * (wide - len(own)))
-        return coded[token]
-
-    rows = [np.array([code(t) for t in lines[i]]) for i in used]
-    states = [golds[i].astype(int) for i in used]
-    have = np.array([np.bincount(2 * y[:-1] + y[1:], minlength=4).reshape(2, 2) for y in states])
+    coded = np.full((len(number), wide), len(ids), np.int32)
+    for k, t in enumerate(number):
+        own = [ids[f] for f in features(t) if f in ids]
+        coded[k, : len(own)] = own
+    del count, toxic
+    have = np.array([np.bincount(2 * y[:-1] + y[1:], minlength=4).reshape(2, 2) for y in (g.astype(int) for g in golds)])
     w, chain = np.zeros(len(ids) + 1), np.array([[0.5, -0.5], [-0.5, 0.5]])
     gw, gc = np.full(len(w), 1e-3), np.full((2, 2), 1e-3)
+    rng = np.random.default_rng(seed)
+    groups = _batches(np.array(list(map(len, lines))), batch, cells)
     for _ in range(rounds):
-        order = rng.permutation(len(used))
-        for k in range(0, len(order), batch):
-            own = order[k : k + batch]
-            feats, lengths = [rows[i] for i in own], np.array([len(rows[i]) for i in own])
-            flat = np.concatenate(feats)
+        for k in rng.permutation(len(groups)):
+            own = groups[k]
+            lengths, flat = np.array([len(lines[i]) for i in own]), coded[np.concatenate([lines[i] for i in own])]
             odds, _ = _padded(np.split(w[flat].sum(1), np.cumsum(lengths)[:-1]))
             p, pairs = marginals(odds, lengths, chain)
             live = np.arange(odds.shape[1]) < lengths[:, None]
-            off = np.concatenate([golds[used[i]] for i in own]) - p[live]
+            off = np.concatenate([golds[i] for i in own]) - p[live]
             g = np.bincount(flat.ravel(), np.repeat(off, wide), minlength=len(w)) / len(own) - 1e-4 * w
             g2 = (have[own].sum(0) - pairs) / len(own) - 1e-4 * chain
             gw += g * g
@@ -185,9 +197,10 @@ def train(texts: list[str], labels: list[int], rounds: int = 12, batch: int = 25
             w += 0.3 * g / np.sqrt(gw)
             w[-1] = 0
             chain += 0.1 * g2 / np.sqrt(gc)
-    model = Model({f: float(w[k]) for f, k in ids.items() if abs(w[k]) > 1e-3}, chain)
-    del lines, golds, rows, coded, one
-    x = np.concatenate([summarised([t.split("\n") for t in texts[s : s + 500]], model) for s in range(0, len(texts), 500)])
+    model = Model(pickle.dumps({f: float(w[k]) for f, k in ids.items() if abs(w[k]) > 1e-3}), chain)
+    del lines, golds, coded, number, ids
+    odds_of = Odds(model)
+    x = np.concatenate([summarised([t.split("\n") for t in texts[s : s + 500]], model, odds_of) for s in range(0, len(texts), 500)])
     y, b = np.array(labels, float), np.zeros(3)
     full = np.column_stack([np.ones(len(x)), x])
     for _ in range(30):  # Newton, with a ridge
@@ -202,12 +215,12 @@ class Odds(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.weights = pickle.loads(model.packed)
 
     def __missing__(self, token: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        get = self.model.weights.get
+        get = self.weights.get
         self[token] = out = sum(get(f, 0.0) for f in features(token))
         return out
 
@@ -228,28 +241,40 @@ def _summary(p: np.ndarray) -> tuple[float, float]:
     return (float(p.max()), float(np.log1p(p[p > 0.05].sum()))) if len(p) else (0.0, 0.0)
 
 
-def summarised(lines: list[list[str]], model: Model) -> np.ndarray:
-    return np.array([_summary(p) for p in doc_marginals(lines, model, Odds(model))]).reshape(-1, 2)
+def summarised(lines: list[list[str]], model: Model, odds: Odds) -> np.ndarray:
+    return np.array([_summary(p) for p in doc_marginals(lines, model, odds)]).reshape(-1, 2)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sample: int = SAMPLE) -> Model:
+def _fit(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """One row, packed: the model of rows (text, y) in the order they come, until their texts have most bytes."""
+    texts, labels, size = [], [], 0
+    for batch in batches:
+        for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist()):
+            size += len(text.encode())
+            if texts and size > most:
+                break
+            texts.append(text)
+            labels.append(y)
+    if len(set(labels)) < 2:
+        model = Model(constant=float(np.mean(labels)) if labels else 0.0)
+    else:
+        model = train(texts, labels)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["packed"])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model:
     """docs with doc_id and text, labels with doc_id and toxic; ids with crc32(id) mod parts = part are never read."""
     own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"), parts, part)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = own.select("doc_id", (F.col("toxic") > 0).cast("int").alias("y"))
-    few = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    some = [tuple(r) for y in (0, 1) for r in few(y)]
-    spark = docs.sparkSession
-    if not some:
-        return Model(constant=0.0)
-    ids = F.broadcast(spark.createDataFrame(some, "id long, y int"))  # at most 2 x sample rows
-    rows = docs.join(ids, F.col("doc_id") == F.col("id")).where("text IS NOT NULL").select("doc_id", "text", "y").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["y"]) for r in rows})
-    if len({y for *_, y in rows}) < 2:
-        return Model(constant=float(np.mean([y for *_, y in rows])) if rows else 0.0)
-    return train([t for _, t, _ in rows], [y for *_, y in rows])
-
-
-def _score(batches: Iterator[pa.RecordBatch], model, spans: bool) -> Iterator[pa.RecordBatch]:
+    known = own.select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("y"))
+    few = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
+    ids = F.broadcast(few(0).union(few(1)))  # at most 2 x sample rows
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(ids, F.col("doc_id") == F.col("id"))
+    one = found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    packed = one.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y").mapInArrow(functools.partial(_fit, most=most), "packed binary")
+    return pickle.loads(packed.first()["packed"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, spans: bool, score: str, spans_as: str) -> Iterator[pa.RecordBatch]:
     m: Model = model.value
     odds = Odds(m)
     b0, b1, b2 = m.logistic
@@ -266,26 +291,29 @@ def _score(batches: Iterator[pa.RecordBatch], model, spans: bool) -> Iterator[pa
                     scores.append(float(1 / (1 + np.exp(-(b0 + b1 * top + b2 * many)))))
                     hits = set(np.flatnonzero(p >= 0.5).tolist()) if spans and len(p) else ()
                     found.append([{"start": x.start(), "end": x.end(), "p": float(p[k])} for k, x in enumerate(re.finditer(r"\S+", text)) if k in hits] if hits else [])
-        cols = {c: batch[c] for c in batch.schema.names} | {"score": pa.array(scores, pa.float64())}
+        cols = {c: batch[c] for c in batch.schema.names} | {score: pa.array(scores, pa.float64())}
         if spans:
-            cols["spans"] = pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))
+            cols[spans_as] = pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))
         yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
-def scored(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """docs with score and predicted; with spans, also the toxic tokens' character offsets and marginals."""
-    docs = docs.drop("score", "predicted", "spans")
+def scored(docs: DataFrame, model: Model, spans: bool = False, names: tuple[str, str, str] = ("score", "predicted", "spans")) -> DataFrame:
+    """docs with score and predicted; with spans, also the toxic tokens' character offsets and marginals. names: of the
+    three, which replace columns so named."""
+    score, predicted, spans_as = names
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [*docs.schema.fields, StructField("score", DoubleType())]
+    fields = [*docs.schema.fields, StructField(score, DoubleType())]
     if spans:
-        fields.append(StructField("spans", ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", DoubleType())]))))
-    out = docs.mapInArrow(lambda it: _score(it, shared, spans), StructType(fields))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        fields.append(StructField(spans_as, ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("p", DoubleType())]))))
+    out = docs.mapInArrow(functools.partial(_score, model=shared, spans=spans, score=score, spans_as=spans_as), StructType(fields))
+    return out.withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with their own columns."""
-    return scored(docs, fitted(docs, labels)).where("predicted = 0").select(*docs.columns)
+    names = (unused(docs, "_score"), unused(docs, "_predicted"), unused(docs, "_spans"))
+    return scored(docs, fitted(docs, labels), names=names).where(F.col(names[1]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
