@@ -2,26 +2,30 @@
 
 A document of source s is taken at rate min(3, exp(lambda_s * size / mean size of s)): of all rates up to 3, those
 nearest to 1 in relative entropy that give the source its target of words. The convex dual has one multiplier per
-source; Newton iterations, kept in a bracket, solve it for all sources at once. Each is one distributed aggregation over
-the counts of documents by source and size, with terms rounded to decimals so that sums do not depend on their order.
-Rates become copies in salted blocks of a source, from long to short documents, each rounded down or up so that the words
-taken follow the words wanted; a block is off by about half its shortest documents. No source is one task.
-
-Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share all words; a target stops at 3 times its
-source's size, the excess reshared by weight. Nulls: a null text has size 0; a null source is a source, the last. Rows
-with equal doc_id, source and size get equal copies. An empty table gives no rows. Documents of size 0 are taken once.
+source; Newton iterations, kept in a bracket that a step leaves for its middle, solve it for all sources at once. Each is
+one distributed aggregation over the counts of documents by source and size, with terms rounded to decimals so that sums
+do not depend on their order, and one written table of a row per source; a source that is not solved is an error. Rates
+become copies in salted blocks of a source, from long to short documents, each rounded down or up so that the words taken
+follow the words wanted; a block is off by about half its shortest documents. No source is one task; what orders the
+sources by name and level holds one row of each.
+
+Targets: sources by code point, null last, weigh 1, 2, 3, repeating, and share all words; a target stops at 3 times their
+source's size, the excess reshared by weight. Nulls: a null text has size 0; a null source is a source, the last; a null
+doc_id is an id. Rows with equal doc_id, source and size get equal copies. An empty table gives no rows. Documents of
+size 0 are taken once; sizes are of whole texts, however long. repeated() returns the columns that it got, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .shared import GAP, drop, table, written
+from .shared import GAP, drop, table, unused, written
 
 MOST, WEIGHTS = 3, (1, 2, 3)
-BLOCK, ROUNDS, CLOSE = 2000, 60, 1e-9
+BLOCK, ROUNDS, CLOSE = 2000, 200, 1e-7
 
 
 def size_of(text: Column) -> Column:
@@ -50,8 +54,8 @@ def rate(lam: Column, x: Column) -> Column:
 
 def balanced(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """source, lam, mean: the multiplier of each source. At 3 times the size every rate is 3."""
-    start = wanted.select("source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.lit(0.0).alias("lam"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), (F.col("target") >= MOST * F.col("source_size")).alias("done"))
-    state = written(start.withColumn("lam", F.when(F.col("done"), F.lit(1e9)).otherwise(F.col("lam"))))
+    full = F.col("target") >= MOST * F.col("source_size")
+    state = written(wanted.select("source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), F.when(full, F.lit(1e9)).otherwise(F.lit(0.0)).alias("lam"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), full.alias("done")))
     hist = sizes.where("size > 0").withColumnRenamed("source", "s")
     exact = lambda c: F.sum(F.round(c, 6).cast("decimal(38,6)")).cast("double")
     for _ in range(ROUNDS):
@@ -59,22 +63,22 @@ def balanced(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         r = rate(F.col("lam"), x)
         words = F.col("n") * F.col("size") * r
         at = hist.join(state.where("NOT done"), F.expr("s <=> source")).groupBy("source").agg(exact(words).alias("g"), exact(F.when(r < MOST, words * x).otherwise(0.0)).alias("h"))
-        at = at.withColumnRenamed("source", "s")
-        step = state.join(at, F.expr("s <=> source"), "left").drop("s")
+        step = state.join(at.withColumnRenamed("source", "s"), F.expr("s <=> source"), "left").drop("s")
         off = F.col("g") - F.col("target")
         low, high = F.when(off < 0, F.col("lam")).otherwise(F.col("low")), F.when(off > 0, F.col("lam")).otherwise(F.col("high"))
-        newton = F.col("lam") - F.when(F.col("h") > 0, off / F.col("h"))
-        middle = F.when((low > -1e5) & (high < 1e5), (low + high) / 2).when(off < 0, F.col("lam") * 2 + 1).otherwise(F.col("lam") * 2 - 1)
-        step = step.withColumns({"low": low, "high": high, "close": F.coalesce(F.abs(off) <= CLOSE * F.col("target") + 0.5, F.lit(True))})
+        step = step.withColumns({"low": low, "high": high, "close": F.coalesce(F.abs(off) <= CLOSE * F.col("target") + 0.5, F.lit(True)), "newton": F.col("lam") - F.when(F.col("h") > 0, off / F.col("h"))})
+        middle = F.when((F.col("low") > -1e5) & (F.col("high") < 1e5), (F.col("low") + F.col("high")) / 2).when(off < 0, F.col("lam") * 2 + 1).otherwise(F.col("lam") * 2 - 1)
         fine = F.col("newton").isNotNull() & (F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high"))
-        step = step.withColumn("newton", newton).withColumn("middle", middle)
-        step = step.withColumn("then", F.when(F.col("done") | F.col("close"), F.col("lam")).when(fine, F.col("newton")).otherwise(F.col("middle")))
-        then = written(step.select("source", "target", "mean", F.col("then").alias("lam"), "low", "high", (F.col("done") | F.col("close")).alias("done")))
+        done = F.col("done") | F.col("close") | (F.col("high") - F.col("low") < 1e-12)  # no number lies between
+        step = step.withColumn("then", F.when(done, F.col("lam")).when(fine, F.col("newton")).otherwise(middle))
+        left = Observation()
+        then = step.select("source", "target", "mean", F.col("then").alias("lam"), "low", "high", done.alias("done"))
+        then = written(then.observe(left, F.count_if(~F.col("done")).alias("n")))
         drop(state)
         state = then
-        if state.where("NOT done").isEmpty():
-            break
-    return state.select("source", "lam", "mean")
+        if not left.get["n"]:
+            return state.select("source", "lam", "mean")
+    raise RuntimeError(f"balanced: {left.get['n']} sources not solved after {ROUNDS} rounds")
 
 
 def _copies(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -111,9 +115,10 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The mix: each document as often as it is taken, with its own columns."""
-    copies = mixed(docs).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies").distinct()
-    out = docs.withColumn("_size", size_of(F.col("text"))).join(copies, F.expr("doc_id <=> _d AND source <=> _s AND _size = _z"))
-    return out.withColumn("_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("copies"))))).select(*docs.columns)
+    d, o, z, n = (unused(docs, x) for x in ("_doc", "_source", "_size", "_copies"))
+    copies = mixed(docs.select("doc_id", "source", "text")).select(F.col("doc_id").alias(d), F.col("source").alias(o), F.col("size").alias(z), F.col("copies").alias(n)).distinct()
+    out = docs.join(copies, (F.col("doc_id").cast("long").eqNullSafe(F.col(d))) & F.col("source").eqNullSafe(F.col(o)) & (size_of(F.col("text")) == F.col(z)))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(1).cast("long"), F.col(n)))).alias(z)).drop(z)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
