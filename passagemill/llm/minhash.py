@@ -8,12 +8,17 @@ the sketch concentrates like one of independent hashes, at a cost of about |set|
 
 Documents with the same set are one node. Nodes that agree on all ROWS coordinates of one of the BANDS bands meet in a
 bucket; buckets are joined to their least node, and the connected components of that candidate graph bring together all
-that must be compared: each text moves once, to its candidate component. Large components are dealt to blocks of bounded
-size and every pair of blocks is one task, so no group is unbounded. A pair of similarity 0.85 shares no band with
-probability 2e-9, so that links are not lost in practice; each is confirmed on full sets by 100 * common >= 85 * union.
+that may have to be compared: each text moves once, to its candidate component. Large components are dealt to blocks of
+bounded size and every pair of blocks is one task, so no group is unbounded. Within a task only pairs that share a band
+and are not yet connected are compared, first with one member of each class found so far: copies of one text cost one
+comparison each, not one per pair, and pages that only a chain of others connects cost none. A pair of similarity 0.85
+shares no band with probability 2e-9, so that links are not lost in practice; each is confirmed on full sets by
+100 * common >= 85 * union.
 
 Nulls: a null or empty text has an empty set and links with nothing; a row without doc_id links with nothing, its
 component_id is null and it is kept. Rows that share a doc_id are one node of the graph, one row each in the result.
+Whole texts count, however long; a pair at exactly the threshold links. deduplicated() returns the columns that it got,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import GAP, LOWER, UPPER, as_bytes, components, table, words_of, written
+from .shared import GAP, LOWER, UPPER, as_bytes, components, drop, table, unused, words_of, written
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 64, 8
@@ -106,31 +111,47 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), keys], ["doc_id", "n_shingles", "digest", "bands"])
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray], first: int | None = None) -> list[tuple[int, int]]:
-    """Pairs that link, a spanning set of them; with first, only between sets[:first] and the rest."""
+def links(ids: np.ndarray, sets: list[np.ndarray], first: int | None = None, bands: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs that link, a spanning set of them; with first, those of sets[:first] with the rest. With bands, a row of
+    keys per set, only sets that share one are compared."""
     sizes = np.array([len(x) for x in sets])
-    parent = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    root = np.arange(len(sets))
     found = []
     names, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     marks = np.zeros(len(names), bool)
+
+    def close(i: int, others: np.ndarray) -> np.ndarray:
+        """Those of others that link with i."""
+        if not len(others):
+            return others
+        n, ends = sizes[others], np.cumsum(sizes[others])
+        at = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - n), n)
+        common = np.add.reduceat(marks[codes[at]], ends - n, dtype=np.int64)
+        return others[100 * common >= PERCENT * (sizes[i] + n - common)]
+
+    def join(i: int, others: np.ndarray) -> None:
+        for k in others.tolist():
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                found.append((int(ids[i]), int(ids[k])))
+
     for i in range(len(sets) - 1 if first is None else first):
-        j = i + 1 if first is None else first
+        scope = np.arange(i + 1 if first is None else first, len(sets))
+        if bands is not None:
+            scope = scope[(bands[scope] == bands[i]).any(1)]
+        scope = scope[root[scope] != root[i]]
+        # sizes so far apart cannot link
+        scope = scope[100 * np.minimum(sizes[scope], sizes[i]) >= PERCENT * np.maximum(sizes[scope], sizes[i])]
+        if not len(scope):
+            continue
         own = codes[starts[i] : starts[i + 1]]
         marks[own] = True
-        common = np.add.reduceat(marks[codes[starts[j] :]], starts[j:-1] - starts[j], dtype=np.int64)
+        _, one = np.unique(root[scope], return_index=True)
+        join(i, close(i, scope[one]))
+        rest = np.delete(scope, one)
+        join(i, close(i, rest[root[rest] != root[i]]))
         marks[own] = False
-        for k in np.flatnonzero(100 * common >= PERCENT * (sizes[i] + sizes[j:] - common)) + j:
-            a, b = root(i), root(int(k))
-            if a != b:
-                parent[b] = a
-                found.append((int(ids[i]), int(ids[k])))
     return found
 
 
@@ -138,10 +159,12 @@ def _verify(key: tuple, group: pa.Table) -> pa.Table:
     i, j = key[1].as_py(), key[2].as_py()
     ids, block = group["node"].to_numpy(), group["block"].to_numpy()
     order = np.lexsort((ids, block != i))
-    texts = as_bytes(group["text"].combine_chunks())
-    sets = [shingle_set(words_of(texts[k])) for k in order]
     first = None if i == j else int((block == i).sum())
-    found = links(ids[order], sets, first) if len(sets) > 1 and first not in (0, len(sets)) else []
+    found = []
+    if len(ids) > 1 and first not in (0, len(ids)):
+        texts = as_bytes(group["text"].combine_chunks())
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+        found = links(ids[order], [shingle_set(words_of(texts[k])) for k in order], first, bands)
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
 
@@ -156,21 +179,26 @@ def clustered(docs: DataFrame) -> DataFrame:
     buckets = keys.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = components(keys.join(buckets, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     members = written(near.union(near.select(F.col("root"), "root").distinct()))
-    blocks = members.join(nodes.select("node", "n_shingles"), "node").groupBy("root").agg(F.expr(f"greatest(ceil(count(*) / {BLOCK_DOCS}), ceil(sum(n_shingles) / {BLOCK_SHINGLES}))").cast("int").alias("blocks"))
-    dealt = members.join(blocks, "root").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
-    texts = docs.join(dealt, F.col("doc_id") == F.col("node")).select("node", "root", "block", "blocks", "text")
-    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "block", "text", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = pairs.groupBy("root", "i", "j").applyInArrow(_verify, "a long, b long")
+    own = nodes.join(members, "node")
+    blocks = own.groupBy("root").agg(F.expr(f"greatest(ceil(count(*) / {BLOCK_DOCS}), ceil(sum(n_shingles) / {BLOCK_SHINGLES}))").cast("int").alias("blocks"))
+    dealt = own.join(blocks, "root").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int")).drop("n_shingles")
+    texts = docs.join(dealt, F.col("doc_id") == F.col("node")).select("node", "root", "block", "blocks", "bands", "text")
+    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "block", "bands", "text", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = written(pairs.groupBy("root", "i", "j").applyInArrow(_verify, "a long, b long"))
     joined = components(found)
     roots = reps.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("found"), "copies", "rep").where("copies > 1 OR found <> rep").select("digest", "found")
     out = signed.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = written(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    for done in (signed, reps, nodes, members, found):
+        drop(done)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the least doc_id, with its own columns."""
-    gone = clustered(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    key = unused(docs, "_gone")
+    gone = clustered(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:
