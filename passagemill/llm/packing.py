@@ -6,10 +6,11 @@ at most `window` of them, so the plan is made from the histogram of lengths: win
 numbers with equal remaining capacity, and a segment tree indexed by capacity finds the tightest that holds an item. A
 step fills as many windows of one run as there are items of one length, so the plan's size depends on the window, not on the
 corpus, and the result is that of best-fit decreasing over the whole corpus. Each piece then finds its window by its
-rank among the pieces of its length; ranks are prefix sums over salted groups, so a common length is no hot key.
+rank among the pieces of its length; ranks are prefix sums over groups salted by the row's place in the written table, so
+neither a common length nor a text that many rows share is a hot key.
 
 Nulls: a null text is empty: one piece of the end id alone. Rows without doc_id and repeated rows are packed like any
-other. Sequences are numbered from 0, full windows of long documents last. An empty table gives no rows.
+other; texts of any length are cut whole. Extra columns are ignored. Sequences are numbered from 0, full windows of long documents last. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,9 +134,8 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with ids, its token ids."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids
     cut = functools.partial(_cut, path=path or tokenizer_path(), window=window, end=end, ids=ids)
-    pieces = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema))
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int")
-    salted = pieces.withColumn("salt", salt)
+    cut_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
+    salted = written(cut_.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")))
     #: At most window x SALTS rows.
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").collect()
     sums: dict[int, int] = {}
@@ -144,7 +144,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end:
         before.append((length, at, sums.get(length, 0)))
         sums[length] = sums.get(length, 0) + n
     steps, opened = plan({k: n for k, n in sums.items() if k < window}, window)
-    # two stable sorts make the order of equal rows harmless: they are interchangeable
+    # rows that the order leaves equal are interchangeable
     spark = docs.sparkSession
     base = F.broadcast(spark.createDataFrame(before, "length long, salt int, base long"))
     from pyspark.sql import Window
@@ -152,7 +152,7 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, end:
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(own).cast("long")).join(base, ["length", "salt"]).withColumn("rank", F.col("rank") - 1 + F.col("base"))
     place = functools.partial(_place, steps=np.array(sorted(steps), np.int64).reshape(-1, 5), window=window, first_full=opened)
-    return ranked.select(*pieces.columns, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*cut_.columns, "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
