@@ -1,8 +1,12 @@
 """The corpus pipeline: quality rules, toxicity, MinHash near-dedup, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which run() writes
-as Parquet in the shared folder and reads again for the next. All but the last return the columns of documents; mixing
-returns a document as often as the mix takes it; packing returns the pieces of sequences, one row each.
+as Parquet in the shared folder and reads again for the next; a stage's table goes once the next is written. All but the
+last return the columns that they got, those of documents and any others, whatever their names; mixing returns a
+document as often as the mix takes it; packing returns the pieces of sequences, one row each.
+
+Null and empty texts fail the quality rules; so do all rows without text. Null ids, sources and languages stay as they
+are; repeated rows are near duplicates of each other, and one doc_id stays with all its rows. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -10,34 +14,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from passagemill.llm import minhash, mixing, packing, quality, toxicity
-from passagemill.llm.shared import table, written
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from passagemill.llm.shared import drop, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.filtered(docs.select(*COLUMNS))
+    return quality.filtered(docs)
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model learns from the labels of documents that are still there."""
-    return toxicity.filtered(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return toxicity.filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
-    return minhash.deduplicated(docs.select(*COLUMNS))
+    return minhash.deduplicated(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.repeated(docs.select(*COLUMNS))
+    return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences' pieces."""
-    return packing.packed(docs.select(*COLUMNS))
+    return packing.packed(docs)
 
 
 STAGES = [
@@ -54,6 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

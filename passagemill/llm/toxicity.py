@@ -271,7 +271,8 @@ def fitted(docs: DataFrame, labels: DataFrame, parts: int = 5, part: int = 0, sa
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(ids, F.col("doc_id") == F.col("id"))
     one = found.groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     packed = one.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y").mapInArrow(functools.partial(_fit, most=most), "packed binary")
-    return pickle.loads(packed.first()["packed"])
+    row = packed.first()
+    return pickle.loads(row["packed"]) if row else Model(constant=0.0)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, spans: bool, score: str, spans_as: str) -> Iterator[pa.RecordBatch]:
