@@ -111,6 +111,39 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), keys], ["doc_id", "n_shingles", "digest", "bands"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) in order: (null, node, least node of its key here) but for that node itself, and (key, least node,
+    null) of the first and the last key, which may go on in other partitions."""
+    key = low = ends = None
+    for batch in batches:
+        keys, nodes = batch["key"].to_numpy(), batch["node"].to_numpy()
+        if not len(keys):
+            continue
+        new = np.append(True, keys[1:] != keys[:-1])
+        lows = nodes[new][np.cumsum(new) - 1]
+        if key is None:
+            ends = [(int(keys[0]), int(nodes[0]))]
+        elif keys[0] == key:
+            lows[keys == key] = low
+        key, low = int(keys[-1]), int(lows[-1])
+        on = nodes != lows
+        yield pa.RecordBatch.from_arrays([pa.nulls(int(on.sum()), pa.int64()), pa.array(nodes[on]), pa.array(lows[on])], ["key", "node", "low"])
+    if key is not None:
+        ends.append((key, low))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in ends]), pa.array([n for _, n in ends]), pa.nulls(2, pa.int64())], ["key", "node", "low"])
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node of a bucket with one of its least nodes, from (node, bands). Keys are dealt by range of key and
+    node, so that a bucket of any size is spread over as many partitions as it takes, and sorted; the least nodes of the
+    parts of a bucket, two rows a partition at most, are joined to each other."""
+    keys = nodes.select(F.explode("bands").alias("key"), "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    runs = written(keys.mapInArrow(_runs, "key long, node long, low long"))
+    parts = runs.where("low IS NULL").select("key", "node")
+    least = parts.groupBy("key").agg(F.min("node").alias("low"))
+    return runs.where("low IS NOT NULL").select("node", "low").union(parts.join(least, "key").where("node <> low").select("node", "low")).toDF("a", "b")
+
+
 def links(ids: np.ndarray, sets: list[np.ndarray], first: int | None = None, bands: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs that link, a spanning set of them; with first, those of sets[:first] with the rest. With bands, a row of
     keys per set, only sets that share one are compared."""
@@ -175,9 +208,9 @@ def clustered(docs: DataFrame) -> DataFrame:
     sets = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = written(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     nodes = written(sets.join(reps.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands"))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(keys.join(buckets, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    same = buckets(nodes)
+    near = components(same)
+    drop(same)
     members = written(near.union(near.select(F.col("root"), "root").distinct()))
     own = nodes.join(members, "node")
     blocks = own.groupBy("root").agg(F.expr(f"greatest(ceil(count(*) / {BLOCK_DOCS}), ceil(sum(n_shingles) / {BLOCK_SHINGLES}))").cast("int").alias("blocks"))
