@@ -284,31 +284,99 @@ def test_class_scores(spark, docs):
 
 
 def test_class_model_sums_to_one():
+    """Over all words, in the lexicon, outside and unseen, whatever stands before."""
     rng = np.random.default_rng(3)
-    size, k = 3 + classlm.ENDINGS, 4
-    classes = np.concatenate([[0], 1 + np.arange(size - 1) % (k - 1)])
-    sizes, once = rng.integers(1, 50, size).astype(float), np.ones(classlm.ENDINGS)
-    m = classlm.Model(["a", "b"], classes, rng.integers(0, 9, (k, k)).astype(float), sizes, once, {}, 1, 1)
-    assert np.allclose((10**m.step).sum(1), 1) and all(math.isclose((10 ** m.emit[classes == c]).sum(), 1) for c in range(k))
+    c = rng.integers(1, 50, 400).astype(float)
+    classes = 1 + rng.integers(0, classlm.CLASSES, 400)
+    sizes = np.bincount(classes, c, minlength=classlm.SLOTS)
+    sizes[0] = 30  # ends
+    counts = np.array([rng.multinomial(int(x), np.full(classlm.SLOTS, 1 / classlm.SLOTS)) for x in sizes], float).T
+    words = [str(i).encode() for i in range(300)]
+    m = classlm.Model(words, c[:300], classes[:300], counts, int(c.sum()) + 30, 401, int((c == 1).sum()), int((c == 2).sum()), 30)
+    for state in range(classlm.SLOTS):
+        seen = 10 ** m.step[state, 0] + sum(10 ** (m.step[state, k] + math.log10(n) - m.sizes[k]) for k, n in zip(classes, c))
+        listed = 10 ** m.step[state, 0] + sum(10 ** (m.step[state, k] + e) for k, e in zip(classes[:300], m.emit[1:301]))
+        once, twice = (c == 1).sum(), (c == 2).sum()
+        types = max(401, once * once / (2 * max(twice, 1))) + 1
+        assert math.isclose(seen + types * 10**m.unseen, 1) and listed < seen
+    assert m.unseen < -math.log10(m.n)
+
+
+def _likelihood(classes, pairs, k):
+    m = np.zeros((k, k))
+    np.add.at(m, (classes[:, None].repeat(len(classes), 1), classes[None, :].repeat(len(classes), 0)), pairs)
+    return classlm._phi(m).sum() - classlm._phi(m.sum(1)).sum() - classlm._phi(m.sum(0)).sum()
 
 
 def test_exchange_raises_likelihood():
+    """To a fixed point, at which no single move of any row is better, by counting anew."""
     rng = np.random.default_rng(4)
     n, k = 30, 4
     side = np.arange(n) % 3
     pairs = rng.poisson(np.where((side[:, None] + 1) % 3 == side[None, :], 40, 1))
-    classes = np.concatenate([[0], 1 + rng.integers(0, k - 1, n - 1)])
-
-    def value(c):
-        m = np.zeros((k, k))
-        np.add.at(m, (c[:, None].repeat(n, 1), c[None, :].repeat(n, 0)), pairs)
-        return classlm._phi(m).sum() - classlm._phi(m.sum(1)).sum() - classlm._phi(m.sum(0)).sum()
-
-    before = value(classes)
-    for _ in range(4):
-        one = np.eye(k, dtype=int)[classes]
-        classes = classlm.exchange(classes, pairs @ one, pairs.T @ one, np.diag(pairs), k)
-    assert value(classes) > before
+    start = np.concatenate([[0], 1 + rng.integers(0, k - 1, n - 1)])
+    classes = classlm.exchange(start, pairs, k, np.array([0]))
+    best = _likelihood(classes, pairs, k)
+    assert best > _likelihood(start, pairs, k) and classes[0] == 0 and (classes[1:] > 0).all()
+    for w in range(1, n):
+        for c in range(1, k):
+            then = classes.copy()
+            then[w] = c
+            assert _likelihood(then, pairs, k) <= best + 1e-6
+
+
+def test_class_model_by_brute_force(spark, docs, monkeypatch):
+    """Classes outside the core, and scores, from the definitions; gibberish comes last."""
+    monkeypatch.setattr(classlm, "CORE", 60)
+    monkeypatch.setattr(classlm, "LEXICON", 300)
+    rng = random.Random(5)
+    df = spark.createDataFrame(docs + [(5001, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(300)))], "doc_id long, text string")
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 == 2} | {5001}
+    from pyspark.sql import functions as F
+
+    is_held = shared.held_out(F.col("doc_id"), 7, 2) | (F.col("doc_id") == 5001)
+    model, others = classlm.learnt(df.where(~is_held))
+    toks = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in df.collect()}
+    c = collections.Counter(w for i, t in toks.items() if i not in held for w in [*t, b""])
+    ranked = sorted((w for w in c if w), key=lambda w: (-c[w], w))
+    assert model.words == ranked[:300]
+    classes = dict(zip(model.words, model.states[1:-1].tolist())) | {r["word"].encode(): r["class"] for r in others.collect()} | {b"": 0}
+    assert set(classes) == set(c) and all(1 <= classes[w] <= classlm.CLASSES for w in ranked)
+    state = lambda w: classes[w] if w in listed else classlm.OTHER
+    listed = {b"", *model.words}
+    counts, seen, cells = np.zeros((classlm.SLOTS,) * 2), collections.defaultdict(lambda: np.zeros(2 * classlm.SLOTS)), np.zeros((classlm.SLOTS,) * 2)
+    for i, t in toks.items():
+        if i not in held:
+            line = [b"", *t, b""]
+            for a, b in zip(line, line[1:]):
+                counts[state(a), classes[b]] += 1
+                cells[state(a), state(b)] += 1
+            for k in range(1, len(line) - 1):
+                seen[line[k]][state(line[k - 1])] += 1
+                seen[line[k]][classlm.SLOTS + state(line[k + 1])] += 1
+    w = classlm.weights(cells)
+    for word in ranked[300:]:
+        s = seen[word] @ w
+        assert s[classes[word] - 1] >= s.max() - 1e-9
+    rows = {r["doc_id"]: r for r in classlm.scored(df, is_held).collect()}
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(c[x] == k for x in ranked) for k in (1, 2))
+    new = (once + 1) / (n + 2)
+    unseen = new / (max(v, once * once / (2 * max(twice, 1))) + 1)
+    size, total = counts.sum(0), counts.sum()
+    for i, t in toks.items():
+        want, before = 0.0, b""
+        for x in [*t, b""]:
+            if x in c:
+                row, k = counts[state(before)], classes[x]
+                p = (1 - classlm.BACK_OFF) * (row[k] + size[k] / total) / (row.sum() + 1) + classlm.BACK_OFF * size[k] / total
+                want += math.log10((1 - new) * p * c[x] / size[k])
+            else:
+                want += math.log10(unseen)
+            before = x
+        assert math.isclose(rows[i]["score"], want, rel_tol=1e-9), i
+    per = {i: r["score"] / r["n_tokens"] for i, r in rows.items() if i in held}
+    assert min(per, key=per.get) == 5001
 
 
 def test_class_scores_edge(edge, none):
