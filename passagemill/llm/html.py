@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of its block elements; text between two block boundaries is a block. Every block passes points for
-its length and commas to its element, half of them to the parent and less to further ancestors; an element's points are
-discounted by its link density. The best element is the container; where it lies in an article or main element, that one
+its length and commas to its element, half of them to the parent and less to LEVELS further ancestors; an element's
+points are discounted by its link density. The best element is the container; where it lies in an article or main element, that one
 is. Beside an article or main element, siblings with a fair share of the best points, headings and paragraphs are kept as
 well; on a page without, all that is left beside the container and beside each element around it, however short, unless it
 is mostly links. Subtrees that are page furniture by element, role or class (menus, headers, footers, sidebars, notices, adverts, forms, comments) are
@@ -13,7 +13,9 @@ Malformed markup is read the way browsers do in outline: an open paragraph ends
 start are ignored, and what follows an unclosed comment or script is part of it. Character references are decoded; white
 space inside a block, line breaks included, becomes one space; blocks are trimmed and joined in page order by a line feed.
 
-Nulls: a null html is an empty page. A page without text gives an empty string. Repeated rows and null ids stay.
+Nulls: a null html is an empty page. A page without text gives an empty string. Repeated rows and null ids stay. Pages of
+any length and depth are read whole, in time in proportion to their length; of elements with equal scores an article,
+then the first, is best. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul noscript template select object".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea title iframe noframes xmp noembed svg math canvas audio video button".split()}
+RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in "script style textarea title iframe noframes xmp noembed svg canvas audio video button".split()}
 CUT = set("nav footer aside form head menu dialog noscript template select object search optgroup option fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -48,22 +50,42 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 WALLS = set("article main section body html table td th aside nav footer header".split())
 
 
+LISTS = set("ul ol menu dir".split())
+#: Ancestors beyond the parent that get points of a block.
+LEVELS = 12
+
+
 class Node:
-    __slots__ = ("name", "parent", "cut", "soft", "points", "chars", "links", "kids")
+    """A block element and what is asked of its ancestors: depth; inside, the nearest article or main above it; wall, the
+    depth of the nearest of WALLS; para, the open paragraph; list, the list it is part of; first, by key of ENDS the outermost
+    element that the key would end."""
+
+    __slots__ = ("name", "parent", "cut", "soft", "points", "chars", "links", "kids", "depth", "inside", "wall", "para", "list", "first")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.cut, self.soft, self.points, self.chars, self.links, self.kids = name, parent, False, False, 0.0, 0, 0, []
-        if parent:
-            parent.kids.append(self)
+        if not parent:
+            self.depth, self.inside, self.wall, self.para, self.list, self.first = 0, None, 0, None, None, {}
+            return
+        parent.kids.append(self)
+        self.depth = parent.depth + 1
+        self.inside = parent if parent.name in ("article", "main") else parent.inside
+        self.wall = self.depth if name in WALLS else parent.wall
+        self.para = self if name == "p" else None if name in WALLS else parent.para
+        self.list = self if name in LISTS else None if name in ("article", "main", "body") else parent.list
+        self.first = parent.first
+        if name in _ENDING:
+            self.first = {k: None if name in walls else parent.first.get(k) or (self if name in ended else None) for k, (ended, walls) in ENDS.items()}
+
+
+_ENDING = {x for ended, walls in ENDS.values() for x in ended | walls}
 
 
 def _mark(node: Node, attrs: str) -> None:
     """Sets cut (page furniture) or soft (so by class alone)."""
     name = node.name
     node.cut = name in CUT
-    inside = node.parent
-    while inside and inside.name not in ("article", "main"):
-        inside = inside.parent
+    inside = node.inside
     if name == "header" and not inside:
         node.cut = True
     if node.cut or not attrs:
@@ -88,10 +110,11 @@ def _mark(node: Node, attrs: str) -> None:
             node.soft = True
 
 
-def parsed(html: str) -> tuple[Node, list[tuple[Node, str, int, int]]]:
-    """The tree, and blocks (element, text, characters, characters in links) in page order."""
+def parsed(html: str) -> tuple[list[Node], list[tuple[Node, str, int, int]]]:
+    """The elements, and blocks (element, text, characters, characters in links), in page order."""
     root = Node("#root", None)
-    at, stack, blocks = root, [root], []
+    at, stack, blocks, nodes = root, [root], [], [root]
+    opened: dict[str, list[int]] = {}  # depths of open elements by name
     text: list[str] = []
     linked = link_chars = 0
     pos = 0
@@ -108,7 +131,8 @@ def parsed(html: str) -> tuple[Node, list[tuple[Node, str, int, int]]]:
     def close(to: int) -> None:
         nonlocal at
         flush()
-        del stack[to:]
+        while len(stack) > to:
+            opened[stack.pop().name].pop()
         at = stack[-1]
 
     while True:
@@ -129,20 +153,16 @@ def parsed(html: str) -> tuple[Node, list[tuple[Node, str, int, int]]]:
             if name == "a":
                 linked = max(0, linked - 1)
             elif name in BLOCKS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        close(k)
-                        break
-                    if stack[k].name in WALLS and name not in WALLS:
-                        flush()
-                        break
+                own = opened.get(name)
+                if own and (name in WALLS or own[-1] >= at.wall):
+                    close(own[-1])
                 else:
                     flush()
             elif name == "br":
                 text.append(" ")
             continue
         if name in RAW:
-            if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
+            if not m[3].rstrip().endswith("/") or name != "svg":
                 end = RAW[name].search(html, pos)
                 if not end:
                     break
@@ -155,24 +175,13 @@ def parsed(html: str) -> tuple[Node, list[tuple[Node, str, int, int]]]:
             flush()
             linked = 0 if name not in ("div", "p", "section", *HEADINGS) else linked
             if name in ENDS:
-                ended, walls = ENDS[name]
-                low = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in walls:
-                        break
-                    if stack[k].name in ended:
-                        low = k
-                if low:
-                    close(low)
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == "p":
-                    close(k)
-                    break
-                if stack[k].name in WALLS:
-                    break
+                if first := at.first.get(name):
+                    close(first.depth)
+            if at.para:
+                close(at.para.depth)
             if name in HEADINGS and stack[-1].name in HEADINGS:
                 close(len(stack) - 1)
-            if name in ("html", "body") and any(x.name == name for x in stack):
+            if name in ("html", "body") and opened.get(name):
                 continue
             if name == "body" and stack[-1].name == "head":
                 close(len(stack) - 1)
@@ -181,31 +190,31 @@ def parsed(html: str) -> tuple[Node, list[tuple[Node, str, int, int]]]:
             at = Node(name, at)
             _mark(at, m[3])
             stack.append(at)
+            nodes.append(at)
+            opened.setdefault(name, []).append(at.depth)
         elif name == "br":
             text.append(" ")
         elif name == "a":
             linked = linked + 1 if re.search(r"\bhref\b", m[3], re.I) else linked
     flush()
-    return root, blocks
+    return nodes, blocks
 
 
 def extracted(html: str | None) -> str:
     if not html:
         return ""
-    root, blocks = parsed(html)
-    gone: dict[Node, bool] = {}
+    nodes, blocks = parsed(html)
+    root = nodes[0]
 
-    def is_gone(node: Node) -> bool:
-        chain = []
-        while node is not None and node not in gone:
-            chain.append(node)
-            node = node.parent
-        out = gone[node] if node is not None else False
-        for x in reversed(chain):
-            out = gone[x] = out or x.cut
+    def below(start, step) -> dict[Node, bool]:
+        """Of each element, start for the root and else step(what its parent has, the element)."""
+        out = {root: start}
+        for x in nodes[1:]:
+            out[x] = step(out[x.parent], x)
         return out
 
-    live = [b for b in blocks if not is_gone(b[0])]
+    gone = below(False, lambda up, x: up or x.cut)
+    live = [b for b in blocks if not gone[b[0]]]
     total, worth = 0.0, []
     for node, value, chars, links in live:
         commas = sum(map(value.count, ",،、，"))
@@ -214,35 +223,34 @@ def extracted(html: str | None) -> str:
         total += points
     # what only a class calls furniture goes unless it holds most of the page's points
     held: dict[Node, float] = {}
-    article = False
     for (node, *_), points in zip(live, worth):
-        soft = main = False
-        while node is not None:
-            if node.soft:
-                held[node] = held.get(node, 0) + points
-                soft = True
-            main = main or node.name in ("article", "main")
-            node = node.parent
-        article = article or main and not soft
+        held[node] = held.get(node, 0) + points
+    for x in reversed(nodes[1:]):
+        if x in held:
+            held[x.parent] = held.get(x.parent, 0) + held[x]
+    soft = below(False, lambda up, x: up or x.soft)
+    article = any((node.inside or node.name in ("article", "main")) and not soft[node] for node, *_ in live)
+    held = {x: points for x, points in held.items() if x.soft}
     bad = {node for node, points in held.items() if article or points <= 0.5 * total}
     if bad:
         for node in bad:
             node.cut = True
-        gone.clear()
-        keep = [not is_gone(b[0]) for b in live]
+        gone = below(False, lambda up, x: up or x.cut)
+        keep = [not gone[b[0]] for b in live]
         live, worth = [b for b, k in zip(live, keep) if k], [w for w, k in zip(worth, keep) if k]
     if not live:
         return ""
     for (node, _, chars, links), points in zip(live, worth):
         own = node if node.name not in ("p", "pre", "blockquote", "li", "td", "th", "dd", "dt", "figcaption", *HEADINGS) or node.parent is None else node.parent
         level = 0
-        while node is not None:
-            node.chars += chars
-            node.links += links
-            node = node.parent
-        while own is not None and own.name != "#root":
+        node.chars += chars
+        node.links += links
+        while own is not None and own.name != "#root" and level < 2 + LEVELS:
             own.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
             own, level = own.parent, level + 1
+    for x in reversed(nodes[1:]):
+        x.parent.chars += x.chars
+        x.parent.links += x.links
     seen: dict[Node, float] = {}
     for node, *_ in live:
         while node is not None and node not in seen:
@@ -252,9 +260,7 @@ def extracted(html: str | None) -> str:
     best = max(seen, key=lambda x: (seen[x], x.name == "article"))
     if seen[best] <= 0:
         best = next((x for x in seen if x.name in ("article", "main")), root)
-    up = best
-    while up is not None and up.name not in ("article", "main"):
-        up = up.parent
+    up = best if best.name in ("article", "main") else best.inside
     kept = {up or best}
     around: set[Node] = set()
     top = up or best
@@ -287,10 +293,8 @@ def extracted(html: str | None) -> str:
         for x in chain:
             inside[x] = ok
         ok = ok or node in around and links < 0.3 * chars
-        lists = node
-        while lists is not None and lists.name not in ("ul", "ol", "menu", "dir", "article", "main", "body"):
-            lists = lists.parent
-        menu = lists is not None and lists.name in ("ul", "ol", "menu", "dir") and len(lists.kids) > 2 and lists.links >= 0.9 * lists.chars
+        lists = node.list
+        menu = lists is not None and len(lists.kids) > 2 and lists.links >= 0.9 * lists.chars
         if ok and not menu:
             out.append(value)
     return "\n".join(out)
