@@ -8,8 +8,12 @@ documents that cross blocks, however many they cross, and numbers the documents.
 are a document without end, marked so.
 
 token_files() writes such files with Spark's text writer, whose line separator is the end id: the shared file system is
-reached only through Spark. Files end after FILE_DOCS documents. Nulls: a null text is an empty document, of 0 tokens.
-An empty table gives no documents.
+reached only through Spark. Files end after FILE_DOCS documents, and a file is read by one task, so files from elsewhere
+must be below the 2 GB that Spark reads at a time. Ids that 16 bits don't hold beside the end are an error. places() says
+which document of which file a row became, by the scan's partition and place, so that counts get their doc_id back.
+
+Nulls: a null text is an empty document, of 0 tokens; a null doc_id stays. Repeated rows are documents of their own. A
+document of any length is counted whole. An empty table gives no documents. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,23 +27,33 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import new_path, table, written
-from .tokens import encoded, tokenizer_path
+from .tokens import chunks, encoded, tokenizer_path
 
 END, BLOCK, FILE_DOCS = 65535, 1 << 20, 4000
 
 
-def _flat(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _flat(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
+    if chunks(path).whole.get_vocab_size() > end:
+        raise ValueError(f"16-bit token files hold ids below {end}; {path} has more")
     for _, texts in encoded(batches, path):
         yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in texts], pa.binary())], ["value"])
 
 
 def token_files(docs: DataFrame, to: str, path: str | None = None, end: int = END, file_docs: int = FILE_DOCS) -> None:
     """Writes the texts' ids, without special tokens, as flat files. An id equal to end would split its document."""
-    flat = docs.select("text").mapInArrow(functools.partial(_flat, path=path or tokenizer_path()), "value binary")
+    flat = docs.select("text").mapInArrow(functools.partial(_flat, path=path or tokenizer_path(), end=end), "value binary")
     separator = np.array([end], "<u2").tobytes().decode("iso-8859-1")
     flat.select(F.col("value").cast("string")).write.option("lineSep", separator).option("encoding", "iso-8859-1").option("maxRecordsPerFile", file_docs).text(to)
 
 
+def places(docs: DataFrame, file_docs: int = FILE_DOCS) -> DataFrame:
+    """doc_id, part, file_no, doc: where token_files() puts each row of docs, a scan of files, whose splits are the same
+    in every job that reads them."""
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    at = docs.select("doc_id", F.spark_partition_id().cast("long").alias("part"), row.alias("row"))
+    return at.select("doc_id", "part", F.floor(F.col("row") / file_docs).cast("long").alias("file_no"), (F.col("row") % file_docs).alias("doc"))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], end: int, block: int) -> Iterator[pa.RecordBatch]:
     """Rows (file, block, head, ends, tail, inner): ids before the first separator, separators, ids after the last, and
     lengths of the documents between separators."""
@@ -73,7 +87,8 @@ def counted(spark: SparkSession, path: str, end: int = END, block: int = BLOCK)
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
-    to = new_path(spark)
-    token_files(table(spark, sf_dir, "documents"), to)
-    found = counted(spark, to)
-    return found.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("long").alias("part"), F.regexp_extract("file", r"-c(\d+)", 1).cast("long").alias("file_no"), "doc", "n_tokens", "ended")
+    to, docs = new_path(spark), table(spark, sf_dir, "documents")
+    where = written(places(docs))
+    token_files(docs, to)
+    found = counted(spark, to).withColumns({"part": F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file_no": F.regexp_extract("file", r"-c(\d+)", 1).cast("long")})
+    return where.join(found, ["part", "file_no", "doc"], "full").select("doc_id", "n_tokens", "ended", "part", "file_no", "doc")

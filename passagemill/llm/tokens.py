@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 
 #: Most chunks that a worker keeps.
-CACHE = 700_000
+CACHE = 400_000
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
 #: What the file's pattern does to such chunks in lower case.
