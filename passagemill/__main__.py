@@ -1,10 +1,11 @@
-"""Command line: clean, split, evaluate, generate, train."""
+"""Command line: clean, split, evaluate, generate (one request a strategy), generate-combined (one a row), train."""
 
 from __future__ import annotations
 
 import argparse
 import dataclasses
 import importlib
+import inspect
 import os
 import shlex
 import subprocess
@@ -29,18 +30,25 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--compatible-shuffle", action="store_true")
     e = sub.add_parser("evaluate")
     e.add_argument("test_file")
-    e.add_argument("encoder", help="module:function; function() returns an object with encode_queries and encode_corpus")
+    e.add_argument("encoder", help="module:function; function(...) returns an object with encode_queries and encode_corpus; it gets those of query_max_length, passage_max_length, devices and fp16 that it has parameters for")
+    e.add_argument("--devices")
+    e.add_argument("--fp16", action="store_true")
     e.add_argument("--full-corpus", action="store_true")
     e.add_argument("--output-dir")
     for name, value in (("encode-batch-size", 16), ("search-batch-size", 64), ("query-max-length", 512), ("passage-max-length", 512)):
         e.add_argument(f"--{name}", type=int, default=value)
-    g = sub.add_parser("generate")
-    g.add_argument("provider", help="module:function; function() returns ask(prompt) -> str")
-    g.add_argument("--input", default="data/raw/pairs.csv")
-    g.add_argument("--output", default="data/generated")
-    g.add_argument("--limit", type=int)
-    for name, kind, value in (("batch-size", int, 50), ("workers", int, 50), ("retries", int, 4), ("retry-delay", float, 2.0), ("length-tolerance", float, 0.15)):
-        g.add_argument(f"--{name}", type=kind, default=value)
+    for name, output in (("generate", "data/generated"), ("generate-combined", "data/generated-combined")):
+        g = sub.add_parser(name)
+        g.add_argument("provider", help="module:function; function(...) returns ask(prompt) -> str; it gets those of system, model, base_url, api_key, timeout, temperature and max_tokens that it has parameters for")
+        g.add_argument("--input", default="data/raw/pairs.csv")
+        g.add_argument("--output", default=output)
+        g.add_argument("--limit", type=int)
+        for option in ("model", "base-url", "api-key"):
+            g.add_argument(f"--{option}")
+        g.add_argument("--thinking", action=argparse.BooleanOptionalAction, default=name == "generate")
+        numbers = [("batch-size", int, 50), ("workers", int, 50), ("retries", int, 4), ("retry-delay", float, 2.0), ("timeout", float, 300.0), ("temperature", float, 0.3), ("max-tokens", int, 8192)]
+        for option, kind, value in numbers + [("length-tolerance", float, 0.15)] * (name == "generate"):
+            g.add_argument(f"--{option}", type=kind, default=value)
     t = sub.add_parser("train")
     from .plans.training import Training
 
@@ -62,14 +70,14 @@ def check(p: argparse.ArgumentParser, a: argparse.Namespace) -> None:
     paths = {"clean": ("input", "output"), "split": ("input", "train", "validation", "test")}.get(a.command, ())
     real = [os.path.abspath(getattr(a, x)) for x in paths]
     need(len(set(real)) == len(real), "paths must differ")
-    source = {"clean": "input", "split": "input", "evaluate": "test_file", "generate": "input"}.get(a.command)
+    source = {"clean": "input", "split": "input", "evaluate": "test_file", "generate": "input", "generate-combined": "input"}.get(a.command)
     need(not source or os.path.exists(getattr(a, source)), f"no such input: {source and getattr(a, source)}")
     if a.command == "clean":
         need(a.negative_count >= 1, "--negative-count must be at least 1")
     if a.command == "evaluate":
         need(min(a.encode_batch_size, a.search_batch_size, a.query_max_length, a.passage_max_length) >= 1, "sizes must be at least 1")
-    if a.command == "generate":
-        need(min(a.batch_size, a.workers, a.retries) >= 1 and a.retry_delay >= 0 and 0 <= a.length_tolerance <= 1 and (a.limit is None or a.limit >= 1), "a number is out of bounds")
+    if a.command.startswith("generate"):
+        need(min(a.batch_size, a.workers, a.retries, a.max_tokens) >= 1 and a.retry_delay >= 0 and a.timeout > 0 and 0 <= getattr(a, "length_tolerance", 0) <= 1 and (a.limit is None or a.limit >= 1), "a number is out of bounds")
 
 
 def _load(name: str):
@@ -77,6 +85,14 @@ def _load(name: str):
     return getattr(importlib.import_module(module), function)
 
 
+def _made(name: str, **settings):
+    """What the function makes with those settings that it takes."""
+    function = _load(name)
+    takes = inspect.signature(function).parameters.values()
+    every = any(x.kind is x.VAR_KEYWORD for x in takes)
+    return function(**{k: v for k, v in settings.items() if every or k in {x.name for x in takes}})
+
+
 def main(argv: list[str] | None = None) -> int:
     p = parser()
     a = p.parse_args(argv)
@@ -96,22 +112,31 @@ def main(argv: list[str] | None = None) -> int:
     from .plans import generate, report
     from .sources import files
 
-    if a.command == "generate":
-        counters = generate.run(spark, files.read_pairs(spark, a.input), a.output, lambda: _load(a.provider)(), a.length_tolerance, a.batch_size, a.limit, retries=a.retries, delay=a.retry_delay, workers=a.workers)
+    if a.command.startswith("generate"):
+        name, settings = a.provider, {"system": generate.system_prompt(a.thinking)} | {k: getattr(a, k) for k in ("model", "base_url", "api_key", "timeout", "temperature", "max_tokens")}
+        make = lambda: _made(name, **settings)
+        rows, often = files.read_pairs(spark, a.input), {"retries": a.retries, "delay": a.retry_delay, "workers": a.workers}
+        if a.command == "generate":
+            counters = generate.run(spark, rows, a.output, make, a.length_tolerance, a.batch_size, a.limit, os.path.abspath(a.input), **often)
+        else:
+            counters = generate.run_combined(spark, rows, a.output, make, a.batch_size, a.limit, **often)
         print(counters)
         return int(counters["incomplete"] > 0)
     lines = files.read_json_lines(spark, a.test_file if a.command == "evaluate" else a.input)
+    if lines.isEmpty():
+        raise ValueError("the input has no records")
     if a.command == "evaluate":
         began = time.perf_counter()
         records.raise_first(records.evaluation_errors(lines))
         v = F.col("value")
         examples = lines.select("line_no", F.try_variant_get(v, "$.query", "string").alias("query"), F.try_variant_get(v, "$.pos", "array<string>").alias("pos"), F.try_variant_get(v, "$.neg", "array<string>").alias("neg"))
         docs = retrieval.corpus(examples, a.full_corpus)
-        make = _load(a.encoder)
+        name, settings = a.encoder, {k: getattr(a, k) for k in ("query_max_length", "passage_max_length", "devices", "fp16")}
+        make = lambda: _made(name, **settings)
         texts = retrieval.encoded(docs, lambda: make().encode_corpus, batch_size=a.encode_batch_size)
         asked = records.ordinal(examples.select("line_no", "query"), "line_no", "query_index")
         queries = retrieval.encoded(asked, lambda: make().encode_queries, column="query", batch_size=a.encode_batch_size)
-        found = retrieval.neighbours(retrieval.normalize(queries), retrieval.normalize(texts))
+        found = retrieval.neighbours(retrieval.normalize(queries), retrieval.normalize(texts), at_once=a.search_batch_size)
         row = retrieval.metrics(retrieval.ranks(found, retrieval.qrels(examples, docs))).first().asDict() | {"document_count": docs.count()}
         mode = "full-corpus" if a.full_corpus else "positive-only"
         rep = report.report(row, {"mode": mode, "encoder": a.encoder}, time.perf_counter() - began)

@@ -60,10 +60,25 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def neighbours(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+def _best(scores: np.ndarray, docs: np.ndarray, had: np.ndarray, had_docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of scores (of docs, in rising order) and of what each query had: scores and documents, ties by document.
+    Only what reaches the k-th best score of its query is sorted."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        wide = int((scores >= least[:, None]).sum(1).max())
+        near = np.sort(np.argsort(-scores, axis=1, kind="stable")[:, :wide], axis=1) if wide > 4 * k else np.sort(np.argpartition(-scores, wide - 1, axis=1)[:, :wide], axis=1)
+        scores, docs = np.take_along_axis(scores, near, 1), docs[near]
+    else:
+        docs = np.broadcast_to(docs, scores.shape)
+    scores, docs = np.concatenate([had, scores], 1), np.concatenate([had_docs, docs], 1)
+    order = np.lexsort((docs, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(docs, order, 1)
+
+
+def neighbours(queries: DataFrame, docs: DataFrame, k: int = 10, at_once: int = QUERY_BLOCK) -> DataFrame:
     """query_index, doc_index, score, rank of the k best documents, ties by doc_index, of queries (query_index,
     embedding) and docs (doc_index, embedding). The corpus is scanned once per block of queries; each task keeps its own
-    k best, so what is shuffled is k rows per query and task."""
+    k best as its batches come, so what is shuffled is k rows per query and task. at_once: queries of one product."""
     spark, out = queries.sparkSession, None
     blocks = queries.withColumn("_block", F.floor(F.col("query_index") / QUERY_BLOCK))
     for b in [r[0] for r in blocks.select("_block").distinct().orderBy("_block").collect()]:
@@ -72,14 +87,17 @@ def neighbours(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            best = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
             for batch in batches:
                 docs_, d = batch["doc_index"].to_numpy(), _matrix(batch["embedding"])
                 if not len(docs_):
                     continue
-                scores = q @ d.T
-                top = np.argsort(np.argsort(docs_))
-                order = np.lexsort((np.broadcast_to(top, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(docs_[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["query_index", "doc_index", "score"])
+                up = np.argsort(docs_, kind="stable")
+                docs_, d = docs_[up], d[up]
+                parts = [_best(q[s : s + at_once] @ d.T, docs_, best[0][s : s + at_once], best[1][s : s + at_once], k) for s in range(0, len(ids), at_once)]
+                best = tuple(np.concatenate(x) for x in zip(*parts))
+            n = best[0].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], ["query_index", "doc_index", "score"])
 
         part = docs.select("doc_index", "embedding").mapInArrow(search, "query_index long, doc_index long, score double")
         out = part if out is None else out.union(part)

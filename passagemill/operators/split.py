@@ -6,7 +6,7 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "validation", "test")
@@ -39,7 +39,7 @@ def shuffled_order(found: DataFrame, seed: int) -> DataFrame:
 def assigned(ordered: DataFrame, ratios: tuple[float, float, float]) -> DataFrame:
     """positive, n, split of ordered (positive, n, order_key): each group in turn goes to the split that is filled least
     against its target, the earlier one on a tie. The rule is sequential: one task folds over (order_key, n) alone, as
-    a stream, in constant memory; sorting is distributed, and texts stay where they are."""
+    a stream, in constant memory; it sorts those pairs itself, spilling, and texts stay where they are."""
     check_ratios(ratios)
     total = ordered.agg(F.sum("n")).first()[0] or 0
     targets = [total * (r / 100) for r in ratios]
@@ -59,11 +59,29 @@ def assigned(ordered: DataFrame, ratios: tuple[float, float, float]) -> DataFram
     return ordered.join(line, "order_key").select("positive", "n", "split")
 
 
+def shuffled_rows(df: DataFrame, seed: int, groups_: int) -> DataFrame:
+    """df of records with split and order_key of their group, with the order_key of each record in a shuffle of its
+    split, by the generator that has shuffled so many groups before. One number a record passes through the driver."""
+    rng = random.Random(seed)
+    rng.shuffle(list(range(groups_)))
+    sizes = {r["split"]: r["n"] for r in counts(df).collect()}
+    rows = []
+    for name in SPLITS:
+        order = list(range(sizes.get(name, 0)))
+        rng.shuffle(order)
+        rows.append(pd.DataFrame({"split": name, "_place": pd.Series(order, dtype="int64"), "_order": [f"{i:020d}" for i in range(len(order))]}))
+    places = df.sparkSession.createDataFrame(pd.concat(rows), "split string, _place long, _order string")
+    place = (F.row_number().over(Window.partitionBy("split").orderBy("order_key", "line_no")) - 1).cast("long")
+    return df.withColumn("_place", place).join(places, ["split", "_place"]).drop("_place", "order_key").withColumnRenamed("_order", "order_key")
+
+
 def split(records: DataFrame, ratios: tuple[float, float, float], seed: int, compatible: bool = False) -> DataFrame:
-    """records with split. Order within a split: by order_key, a hash of seed and line."""
+    """records with split. Order within a split: by order_key, a hash of seed and line, or if compatible a shuffle."""
     found = groups(records)
     ordered = shuffled_order(found, seed) if compatible else hashed_order(found, seed)
     sides = assigned(ordered, ratios).select("positive", "split")
+    if compatible:
+        return shuffled_rows(records.join(sides, "positive").join(ordered.select("positive", "order_key"), "positive"), seed, found.count())
     return records.join(sides, "positive").withColumn("order_key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("line_no").cast("string"))))
 
 

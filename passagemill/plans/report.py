@@ -7,14 +7,14 @@ import html
 import json
 import os
 
-from ..functions.text import py_safe_name
+from ..functions.text import label
 
 LABELS = {"recall_at_1": "Recall@1", "recall_at_5": "Recall@5", "mrr_at_10": "MRR@10"}
 
 
 def output_dir(requested: str | None, mode: str, model: str, now: dt.datetime | None = None) -> str:
     stamp = (now or dt.datetime.now()).strftime("%Y%m%d_%H%M%S")
-    return requested or f"reports/evaluations/{stamp}_{mode}_{py_safe_name(model)}"
+    return requested or f"reports/evaluations/{stamp}_{mode}_{label(model)}"
 
 
 def report(metrics: dict, settings: dict, seconds: float) -> dict:

@@ -12,7 +12,7 @@ class Training:
     train_file: str = "data/splits/train.jsonl"
     output_dir: str = "models/finetuned"
     model: str = "base-model"
-    module: str = "trainer.encoder_only.m3"
+    module: str = "FlagEmbedding.finetune.embedder.encoder_only.m3"
     num_gpus: int = 1
     cuda_visible_devices: str | None = None
     epochs: int = 1
@@ -27,11 +27,19 @@ class Training:
     save_steps: int = 1000
     logging_steps: int = 10
     save_total_limit: int = 2
-    cache_dir: str | None = None
-    data_cache_dir: str | None = None
+    cache_dir: str | None = "cache/models"
+    data_cache_dir: str | None = "cache/data"
     overwrite_output_dir: bool = False
 
 
+#: Options of the training module that are always the same.
+FIXED = {
+    "pad_to_multiple_of": 8, "knowledge_distillation": False, "same_dataset_within_batch": True, "small_threshold": 0, "drop_threshold": 0,
+    "dataloader_drop_last": True, "gradient_checkpointing_kwargs": '{"use_reentrant": false}', "ddp_find_unused_parameters": True, "disable_tqdm": False,
+    "temperature": 0.02, "sentence_pooling_method": "cls", "normalize_embeddings": True, "unified_finetuning": False, "use_self_distill": False, "fix_encoder": False,
+}
+
+
 def check(t: Training) -> None:
     if not os.path.isfile(t.train_file):
         raise ValueError(f"no such file: {t.train_file}")
@@ -50,7 +58,7 @@ def command(t: Training) -> list[str]:
         "model_name_or_path": t.model, "train_data": t.train_file, "output_dir": t.output_dir, "num_train_epochs": t.epochs, "learning_rate": t.learning_rate,
         "per_device_train_batch_size": t.batch_size, "train_group_size": t.train_group_size, "query_max_len": t.query_max_length, "passage_max_len": t.passage_max_length,
         "seed": t.seed, "warmup_ratio": t.warmup_ratio, "save_steps": t.save_steps, "logging_steps": t.logging_steps, "save_total_limit": t.save_total_limit,
-        "temperature": 0.02, "sentence_pooling_method": "cls", "normalize_embeddings": True, "pad_to_multiple_of": 8, "dataloader_drop_last": True,
+        **FIXED,
         "cache_dir": t.cache_dir, "cache_path": t.data_cache_dir,
     }
     out = [sys.executable, "-m", "torch.distributed.run", "--nproc_per_node", str(t.num_gpus), "-m", t.module]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, strip
@@ -27,10 +27,15 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str, first: int) -> DataFrame:
-    """df in physical order with an ordinal; the one place that needs the RDD's order."""
-    schema = df.schema
-    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return df.rdd.zipWithIndex().map(lambda x: (x[1] + first, *x[0])).toDF(f"`{name}` bigint, {cols}")
+    """df, a scan of files, in physical order with an ordinal: the place within the scan's partition plus the rows of those
+    before it, from a count per partition. Splits of a scan are the same in both passes."""
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = df.select(F.shiftright(F.monotonically_increasing_id(), 33).alias("_part")).groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    starts = sizes.select("_part", before.alias("_before"))
+    place = (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + first).cast("long").alias(name)
+    return at.withColumn("_part", part).join(F.broadcast(starts), "_part").select(place, *(F.col(f"`{c}`") for c in df.columns))
 
 
 def nonempty_pairs(rows: DataFrame) -> DataFrame:
