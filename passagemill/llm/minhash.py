@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import GAP, LOWER, UPPER, as_bytes, components, drop, table, unused, words_of, written
+from .shared import GAP, LOWER, UPPER, as_bytes, components, drop, release, table, unused, words_of, written
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 64, 8
@@ -211,6 +211,7 @@ def clustered(docs: DataFrame) -> DataFrame:
     same = buckets(nodes)
     near = components(same)
     drop(same)
+    release(docs.sparkSession)
     members = written(near.union(near.select(F.col("root"), "root").distinct()))
     own = nodes.join(members, "node")
     blocks = own.groupBy("root").agg(F.expr(f"greatest(ceil(count(*) / {BLOCK_DOCS}), ceil(sum(n_shingles) / {BLOCK_SHINGLES}))").cast("int").alias("blocks"))
@@ -218,6 +219,7 @@ def clustered(docs: DataFrame) -> DataFrame:
     texts = docs.join(dealt, F.col("doc_id") == F.col("node")).select("node", "root", "block", "blocks", "bands", "text")
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "block", "bands", "text", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = written(pairs.groupBy("root", "i", "j").applyInArrow(_verify, "a long, b long"))
+    release(docs.sparkSession)
     joined = components(found)
     roots = reps.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("found"), "copies", "rep").where("copies > 1 OR found <> rep").select("digest", "found")
     out = signed.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
