@@ -47,12 +47,6 @@ def drop(df: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose results are written: it does so for plans that the driver's JVM has
-    collected, which it may else do much later."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def unused(df: DataFrame, name: str) -> str:
     """name, with underscores added until no column of df bears it."""
     taken = {c.lower() for c in df.columns}
