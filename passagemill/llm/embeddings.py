@@ -85,12 +85,22 @@ def linked(ids: np.ndarray, rows: np.ndarray, pivots: np.ndarray, list_of: int,
     return n.astype(np.int64), low
 
 
-def candidates(pivots: np.ndarray, list_of: int, first: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that share enough pivots and list_of as their first common one, by counting in inverted lists."""
+def candidates(pivots: np.ndarray, list_of: int, first: int | None, small: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that share enough pivots and list_of as their first common one, by counting in inverted lists;
+    of at most small rows, by a product of incidences."""
     n, wide = pivots.shape
     names, codes = np.unique(pivots, return_inverse=True)
     codes, own = codes.reshape(n, wide), int(np.searchsorted(names, list_of))
     to = 0 if first is None else first
+    if n <= small:
+        has = np.zeros((n, len(names)), np.float32)
+        has[np.arange(n)[:, None], codes] = 1
+        hit = (has @ has.T >= min(SHARED, wide)) & (has[:, :own] @ has[:, :own].T == 0)
+        hit = np.triu(hit, 1)
+        if first is not None:
+            hit[first:] = False
+            hit[:, :first] = False
+        return np.nonzero(hit)
     order = np.argsort(codes[to:], axis=None, kind="stable")
     members = order // wide + to
     ends = np.concatenate([[0], np.cumsum(np.bincount(codes[to:].ravel(), minlength=len(names)))])

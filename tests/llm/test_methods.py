@@ -59,14 +59,15 @@ def test_recall_of_pairs_at_the_threshold(rows):
         assert ((has @ has.T)[np.triu_indices(2000, 1)] >= embeddings.SHARED).mean() < 0.05
 
 
-def test_candidates_like_counting():
+@pytest.mark.parametrize("small", [0, 256])
+def test_candidates_like_counting(small):
     rng = np.random.default_rng(2)
     pivots = np.array([rng.permutation(15)[:4] for _ in range(80)])
     sets = [set(x) for x in pivots.tolist()]
     for p in range(15):
         on = [i for i in range(80) if p in sets[i]]
         for first in (None, len(on) // 2):
-            a, b = embeddings.candidates(pivots[on], p, first)
+            a, b = embeddings.candidates(pivots[on], p, first, small)
             scope = [(i, j) for i in range(len(on)) for j in range(i + 1, len(on)) if first is None or i < first <= j]
             want = {(i, j) for i, j in scope if len(s := sets[on[i]] & sets[on[j]]) >= 2 and min(s) == p}
             assert set(zip(a.tolist(), b.tolist())) == want
