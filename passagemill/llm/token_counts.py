@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import new_path, table, written
@@ -54,6 +54,13 @@ def places(docs: DataFrame, file_docs: int = FILE_DOCS) -> DataFrame:
     return at.select("doc_id", "part", F.floor(F.col("row") / file_docs).cast("long").alias("file_no"), (F.col("row") % file_docs).alias("doc"))
 
 
+def numbers_of(file: str) -> dict[str, Column]:
+    """part and file_no that Spark's writer put in a file's name; the job's random id between them may itself hold what
+    looks like a file number, so the last one before the ending counts."""
+    name = r"part-(\d+)-[^/]*-c(\d+)\.[^/]*$"
+    return {c: F.regexp_extract(file, name, k).cast("long") for k, c in enumerate(("part", "file_no"), 1)}
+
+
 def _scan(batches: Iterator[pa.RecordBatch], end: int, block: int) -> Iterator[pa.RecordBatch]:
     """Rows (file, block, head, ends, tail, inner): ids before the first separator, separators, ids after the last, and
     lengths of the documents between separators."""
@@ -90,5 +97,5 @@ def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     to, docs = new_path(spark), table(spark, sf_dir, "documents")
     where = written(places(docs))
     token_files(docs, to)
-    found = counted(spark, to).withColumns({"part": F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file_no": F.regexp_extract("file", r"-c(\d+)", 1).cast("long")})
+    found = counted(spark, to).withColumns(numbers_of("file"))
     return where.join(found, ["part", "file_no", "doc"], "full").select("doc_id", "n_tokens", "ended", "part", "file_no", "doc")

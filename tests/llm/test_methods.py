@@ -90,13 +90,20 @@ def test_counts_by_document(spark):
     assert got == {r["doc_id"]: (len(c.text(r["text"])) // 4, True) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
 
+def test_file_numbers_beside_random_ids(spark):
+    """A job's random id that holds -c and digits is no file number, nor is a folder's name a part."""
+    names = ["file:/x/part-9-c7/part-00003-8a3a5495-c981-4a34-8739-c7fd834dea95-c002.txt", "file:/x/part-00012-8a3a5495-0981-4a34-a739-c12345678901-c000.txt.gz"]
+    df = spark.createDataFrame([(x,) for x in names], "file string").select(*(c.alias(n) for n, c in token_counts.numbers_of("file").items()))
+    assert [tuple(r) for r in df.collect()] == [(3, 2), (12, 0)]
+
+
 def test_counts_over_several_files(spark, tmp_path):
     df = spark.range(40).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 > 0, F.expr("repeat('<|endoftext|> word ', cast(id as int))")).alias("text"))
     df.repartition(3).write.parquet(f"file://{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
     token_counts.token_files(docs, f"file://{tmp_path}/tokens", file_docs=4)
     where = token_counts.places(docs, file_docs=4)
-    found = token_counts.counted(spark, f"file://{tmp_path}/tokens", block=5).withColumns({"part": F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file_no": F.regexp_extract("file", r"-c(\d+)", 1).cast("long")})
+    found = token_counts.counted(spark, f"file://{tmp_path}/tokens", block=5).withColumns(token_counts.numbers_of("file"))
     got = {r["doc_id"]: r["n_tokens"] for r in where.join(found, ["part", "file_no", "doc"], "full").collect()}
     c = tokens.Chunks(tokens.tokenizer_path())
     assert got == {r["doc_id"]: len(c.text(r["text"])) // 4 for r in docs.collect()}
