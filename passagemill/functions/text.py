@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 #: The characters that count as white space.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITE)
+_HIGH = "".join(f"\\x{{{ord(c):x}}}" for c in WHITE if c > " ")
+#: A class of these that asks three ranges of most characters, not 29 single ones.
+_SPACE = f"[\\t-\\r\\x1c-\\x20[\\x{{85}}-\\x{{3000}}&&[{_HIGH}]]]+"
 
 
 def strip(text: Column) -> Column:
@@ -22,12 +24,14 @@ def blank(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{_CLASS}]+"))
+    """One more than the gaps inside the text; gaps are fewer and quicker to find than words."""
+    own = strip(text)
+    return F.when(own == "", 0).otherwise(F.regexp_count(own, F.lit(_SPACE)) + 1)
 
 
 def normalized(text: Column) -> Column:
     """Words joined by single blanks."""
-    return strip(F.regexp_replace(text, f"[{_CLASS}]+", " "))
+    return strip(F.regexp_replace(text, _SPACE, " "))
 
 
 def word_bounds(target: Column, tolerance: float) -> tuple[Column, Column]:

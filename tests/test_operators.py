@@ -24,6 +24,13 @@ def test_text_agrees_with_python(spark):
         assert (s, n, w) == ((None, None, None) if x is None else (x.strip(), " ".join(x.split()), len(x.split())))
 
 
+def test_white_space_is_these_characters(spark):
+    c = F.col("c")
+    df = spark.range(0x3100).where("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    got = {r[0] for r in df.select("c", text.word_count(F.concat(F.lit("a"), c, F.lit("b"))).alias("n"), text.normalized(F.concat(F.lit("a"), c, c, F.lit("b"))).alias("t")).where("n = 2 AND t = 'a b'").collect()}
+    assert got == set(text.WHITE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+
+
 def test_word_bounds_are_double_products(spark):
     df = spark.createDataFrame([(100, 0.29), (1, 1.0), (5, 0.0)], "n int, t double")
     for n, t in df.collect():
