@@ -109,7 +109,7 @@ def thresholds(own: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """lang, source, docs and cut, a struct of cut-offs by metric, of each group of sketches()."""
     merged = [F.sum("docs").alias("docs"), *(F.kll_merge_agg_bigint(m).alias(m) for m in METRICS)]
     by_lang = own.groupBy("lang").agg(*merged)
-    whole = by_lang.agg(*merged).select(F.lit(1).alias("one"), cutoffs(by_lang).alias("all_cut"))
+    whole = by_lang.groupBy(F.lit(1).alias("one")).agg(*merged).select("one", cutoffs(by_lang).alias("all_cut"))  # no row without documents: an empty sketch has no quantile
     by_lang = by_lang.select(F.col("lang").alias("of_lang"), F.col("docs").alias("lang_docs"), cutoffs(by_lang).alias("lang_cut"))
     groups = own.select("lang", "source", "docs", cutoffs(own).alias("cut"), F.lit(1).alias("one"))
     best = F.when(F.col("docs") >= min_docs, F.col("cut")).when(F.col("lang_docs") >= min_docs, F.col("lang_cut")).otherwise(F.col("all_cut"))
