@@ -1,10 +1,10 @@
 """Queries of the retrieval-data operators over the driver's tables, each beside DuckDB SQL for the same rows.
 
 Inputs are derived alike on both sides: pairs from the first user and assistant turns of a conversation; records from
-documents, whose negatives are the texts of other documents at fixed offsets; searches from a quarter of the embeddings
-with all but their first 8 dimensions cleared. normalize and dot_scores are over these searches; normalize_all and
-dot_scores_all over every vector and position. Likewise the JSON and validation queries read hand-made lines, and those
-named _all a line per document.
+documents, whose negatives are the texts of other documents at fixed offsets. Searches ask every vector whose id is
+divisible by 50, its positions weighted by 1 / place so that the vector itself is not always the first, against all
+vectors. normalize_all and dot_scores_all are over every vector and position. The JSON and validation queries read
+hand-made lines with every kind of fault, and those named _all a line per document.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .functions import jsonx
 from .functions.text import WHITE, backoff, length_fits, normalized, safe_name, strip, word_bounds, word_count
 from .operators import clean, records, retrieval, split
 from .plans import generate
-from .sources import files
+from .sources import files, scratch
 
 COUNT, TOLERANCE, SEED, RATIOS = 7, 0.15, 42, (80.0, 10.0, 10.0)
 OFFSETS = [0, 1, 1, 2, 3, 5, 8, 13, 21, 34]
@@ -56,7 +56,7 @@ def _examples(spark, d):
 
 def _searches(spark, d):
     vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_index"), "embedding")
-    asked = vectors.where("doc_index % 4 = 0").select(F.col("doc_index").alias("query_index"), F.expr("transform(cast(embedding AS array<double>), (x, i) -> IF(i < 8, x, 0D))").alias("embedding"))
+    asked = vectors.where("doc_index % 50 = 0").select(F.col("doc_index").alias("query_index"), F.expr("transform(cast(embedding AS array<double>), (x, i) -> x / (i + 1))").alias("embedding"))
     return retrieval.normalize(asked), retrieval.normalize(vectors)
 
 
@@ -96,7 +96,7 @@ _SPLIT = f"""{_GROUPS}, o AS (SELECT *, row_number() OVER (ORDER BY order_key) A
  CASE WHEN a / (total * 0.8::DOUBLE) <= b / (total * 0.1::DOUBLE) AND a / (total * 0.8::DOUBLE) <= c / (total * 0.1::DOUBLE) THEN 0 WHEN b / (total * 0.1::DOUBLE) <= c / (total * 0.1::DOUBLE) THEN 1 ELSE 2 END AS s FROM run r JOIN o ON o.k = r.k + 1) o),
  side AS (SELECT o.positive, o.n, ['train', 'validation', 'test'][i + 1] AS split FROM run JOIN o USING (k))"""
 _VEC = """v AS (SELECT vec_id AS doc_index, list_transform(e, lambda x: x / n) AS embedding FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)),
- q AS (SELECT query_index, list_transform(e, lambda x: x / n) AS embedding FROM (SELECT query_index, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id AS query_index, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i <= 8 THEN x ELSE 0 END) AS e FROM embeddings WHERE vec_id % 4 = 0))),
+ q AS (SELECT query_index, list_transform(e, lambda x: x / n) AS embedding FROM (SELECT query_index, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id AS query_index, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x / i) AS e FROM embeddings WHERE vec_id % 50 = 0))),
  s AS (SELECT query_index, doc_index, list_inner_product(q.embedding, v.embedding) AS score FROM q, v),
  top AS (SELECT *, row_number() OVER (PARTITION BY query_index ORDER BY score DESC, doc_index) AS rank FROM s QUALIFY rank <= 10)"""
 _STATE = f"""st AS (SELECT doc_id AS source_index, i AS strategy_index, {_TYPES}[i + 1] AS violated_requirement, version, CASE WHEN (doc_id + i) % 5 <> 0 THEN {_TYPES}[i + 1] || ' ' || version || ' ' || doc_id END AS text FROM documents, (SELECT unnest(range(7)) AS i), (SELECT unnest([1, 2]) AS version)),
@@ -106,6 +106,10 @@ _STATE = f"""st AS (SELECT doc_id AS source_index, i AS strategy_index, {_TYPES}
 ANSWERS = ["", '{"text": "a b", "violated_requirement": "v"}', '```json\n{"text": "a b c", "violated_requirement": "v"}\n```', '```\n{"text": "x"}\n```', 'Sure: {"text": "a b", "violated_requirement": "w"} done', "[1, 2]", "no json", '{"text": 5, "violated_requirement": "v"}', '{"text": "  ", "violated_requirement": "v"}', '{"text": "the one", "violated_requirement": "v"}', '{"text": "much too long to pass the bounds", "violated_requirement": "v"}']
 EVAL_LINES = ['{"query": "q1", "pos": ["p"], "neg": []}', '{"query": " q1 ", "pos": ["p"], "neg": ["n"]}', '{"query": "q2", "pos": ["p", "r"], "neg": []}', '{"query": 5, "pos": ["p"], "neg": []}', "not json", '{"query": "q3", "pos": [" "], "neg": []}', '{"query": "q4", "pos": ["p"], "neg": [1]}', '{"query": "q5", "pos": ["p"]}', '{"query": "q6", "pos": ["p"], "neg": ["n", "m"]}']
 
+_SEVEN = ", ".join(f'{{"id": {i + 1}, "type": "{t}", "text": "t{i}", "violated_requirement": "v"}}' for i, t in enumerate(TYPES))
+_GOOD = f'{{"information_need": "n", "critical_requirements": ["r"], "hard_negatives": [{_SEVEN}]}}'
+COMBINED = [_GOOD, _GOOD.replace('"id": 2', '"id": 3'), _GOOD.replace('["r"]', "[]"), _GOOD.replace('"t4"', '" "'), _GOOD.replace('"n"', '" "', 1), "[]", _GOOD.replace(_SEVEN, _SEVEN.rsplit(", {", 1)[0])]
+
 
 def _inline(spark, values):
     return spark.createDataFrame(list(enumerate(values, 1)), "line_no long, line string")
@@ -118,6 +122,33 @@ def _values(values: list[str]) -> str:
 
 # queries
 
+def _pairs_csv(s, d):
+    """The pairs written as CSV, with a column that is not read, and read again."""
+    rows = _pairs(s, d).where("question IS NOT NULL AND content_text IS NOT NULL")
+    path = scratch.new_path(s)
+    rows.select("question", "source_index", "content_text").write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    return files.read_pairs(s, path).select(F.md5("query").alias("query"), F.md5("positive").alias("positive"))
+
+
+def _lines_json(s, d):
+    """The documents written as JSON lines, each with a blank line after it, and read again: no line number twice."""
+    path = scratch.new_path(s)
+    rows = _read(s, d, "documents").select("doc_id", "text")
+    files.json_text(rows).select(F.concat("value", F.lit("\n")).alias("value")).write.text(path)
+    v = F.col("value")
+    back = files.read_json_lines(s, path).select("line_no", F.try_variant_get(v, "$.doc_id", "bigint").alias("doc_id"), F.md5(F.try_variant_get(v, "$.text", "string")).alias("text"))
+    return back.groupBy("doc_id", "text").agg((F.max("line_no") % 2).alias("odd"))
+
+
+def _lenient_resume(s, d):
+    """Finished rows of lines of which every third is cut off and every fifth is there twice."""
+    path = scratch.new_path(s)
+    docs = _read(s, d, "documents").select(F.col("doc_id").alias("source_index"))
+    line = F.when(F.col("source_index") % 3 == 0, F.lit('{"source_in')).otherwise(F.to_json(F.struct("source_index")))
+    docs.select(F.when(F.col("source_index") % 5 == 0, F.concat(line, F.lit("\n"), line)).otherwise(line).alias("value")).write.text(path)
+    return files.completed(files.read_json_lines(s, path), strict=False)
+
+
 def _word_counts(s, d):
     return _read(s, d, "documents").select("doc_id", word_count(F.col("text")).cast("long").alias("n_words"), F.length(normalized(F.col("text"))).cast("long").alias("n_normalized"))
 
@@ -223,16 +254,6 @@ def _l2_norms(s, d):
     return _read(s, d, "embeddings").select("vec_id", F.round(retrieval.norm(F.col("embedding")), 6).alias("norm"))
 
 
-def _normalize(s, d):
-    q, _ = _searches(s, d)
-    return q.select("query_index", F.posexplode("embedding").alias("at", "x")).where("at < 8").select("query_index", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
-
-
-def _dot_scores(s, d):
-    q, v = _searches(s, d)
-    return q.join(v, q["query_index"] == v["doc_index"]).select("query_index", F.round(retrieval.dot(q["embedding"], v["embedding"]), 6).alias("score"))
-
-
 def _normalize_all(s, d):
     v = retrieval.normalize(_read(s, d, "embeddings").select("vec_id", "embedding"))
     return v.select("vec_id", F.posexplode("embedding").alias("at", "x")).select("vec_id", F.col("at").cast("long").alias("at"), F.round("x", 6).alias("x"))
@@ -296,10 +317,20 @@ def _validate(s, d):
 
 
 def _validate_combined(s, d):
-    items = ", ".join(f'{{"id": {i + 1}, "type": "{t}", "text": "t{i}", "violated_requirement": "v"}}' for i, t in enumerate(TYPES))
-    good = f'{{"information_need": "n", "critical_requirements": ["r"], "hard_negatives": [{items}]}}'
-    lines = [good, good.replace('"id": 2', '"id": 3'), good.replace('["r"]', "[]"), good.replace('"t4"', '" "'), good.replace('"n"', '" "', 1), "[]", good.replace(items, items.rsplit(", {", 1)[0])]
-    return _inline(s, lines).select("line_no", records.combined_error(jsonx.tolerant_object(F.col("line"))).alias("error"))
+    return _inline(s, COMBINED).select("line_no", records.combined_error(jsonx.tolerant_object(F.col("line"))).alias("error"))
+
+
+def _validate_combined_all(s, d):
+    """An answer per document, its text in every negative; the remainder of doc_id by 7 says what is wrong with it."""
+    fault, text = F.col("doc_id") % 7, F.coalesce(strip(F.col("text")), F.lit(""))
+    item = lambda i, t: F.struct(
+        F.when((fault == 1) & F.lit(i == 1), 9).otherwise(i + 1).alias("id"), F.lit(t).alias("type"), F.when((fault == 2) & F.lit(i == 6), " ").otherwise(F.concat(text, F.lit(f" {i}"))).alias("text"), F.lit("v").alias("violated_requirement")
+    )
+    seven = F.array(*(item(i, t) for i, t in enumerate(TYPES)))
+    need, asked = F.when(fault == 3, " ").otherwise("n"), F.when(fault == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("r")))
+    answer = F.to_json(F.struct(need.alias("information_need"), asked.alias("critical_requirements"), F.when(fault == 5, F.slice(seven, 1, 6)).otherwise(seven).alias("hard_negatives")))
+    line = F.when(fault == 6, F.concat(F.lit("["), answer, F.lit("]"))).otherwise(answer)
+    return _read(s, d, "documents").select("doc_id", records.combined_error(jsonx.tolerant_object(line)).alias("error"))
 
 
 def _eval_checks(s, d):
@@ -357,6 +388,10 @@ _JSON = f"""a AS (SELECT line_no, CASE WHEN line LIKE '```%' THEN {_FENCED} ELSE
  o AS (SELECT line_no, CASE WHEN json_type(b) = 'OBJECT' THEN b END AS v FROM j),
  f AS (SELECT line_no, v IS NOT NULL AS object, CASE WHEN json_type(v, '$.text') = 'VARCHAR' THEN v ->> '$.text' END AS text, CASE WHEN json_type(v, '$.violated_requirement') = 'VARCHAR' THEN v ->> '$.violated_requirement' END AS violated_requirement FROM o)"""
 
+_STUB = f"""{_STATE}, ws AS (SELECT {_WS} AS ws), asked AS (SELECT doc_id AS source_index, CAST(i AS INTEGER) AS strategy_index, {_TYPES}[i + 1] AS kind, trim(text, ws) AS positive, regexp_extract_all(text, '[^{_CLASS}]+') AS words FROM documents, ws, (SELECT unnest(range(7)) AS i) WHERE (doc_id, i) NOT IN (SELECT (source_index, strategy_index) FROM last)),
+ told AS (SELECT *, array_to_string(list_append(list_reverse(words[2:]), kind), ' ') AS text FROM asked),
+ stub AS (SELECT source_index, strategy_index, kind AS violated_requirement, text, CASE WHEN text = positive THEN 'identical to the positive' WHEN len(words) = 0 THEN 'word count out of bounds' END AS error FROM told)"""
+
 QUERIES = {
     "word_counts": (_word_counts, f"WITH ws AS (SELECT {_WS} AS ws) SELECT doc_id, {_WORDS('text')} AS n_words, CAST(length({_NORM('text')}) AS BIGINT) AS n_normalized FROM documents"),
     "word_bounds": (_word_bounds, f"SELECT doc_id, CAST(greatest(1, n - floor(n * 0.29::DOUBLE)) AS BIGINT) AS low, CAST(n + floor(n * 0.29::DOUBLE) AS BIGINT) AS high FROM (SELECT doc_id, {_WORDS('text')} AS n FROM documents)"),
@@ -364,6 +399,9 @@ QUERIES = {
     "ws_normalize": (_ws_normalize, f"WITH ws AS (SELECT {_WS} AS ws) SELECT doc_id, md5({_NORM('text')}) AS digest FROM documents"),
     "pairs_scan": (lambda s, d: _pairs(s, d), f"WITH {_PAIRS} SELECT * FROM p"),
     "pairs_nonempty": (_pairs_nonempty, f"WITH {_PAIRS}, ws AS (SELECT {_WS} AS ws) SELECT source_index, trim(question, ws) AS query, trim(content_text, ws) AS positive FROM p, ws WHERE coalesce(trim(question, ws), '') <> '' AND coalesce(trim(content_text, ws), '') <> ''"),
+    "pairs_csv": (_pairs_csv, f"WITH {_PAIRS}, ws AS (SELECT {_WS} AS ws) SELECT md5(trim(question, ws)) AS query, md5(trim(content_text, ws)) AS positive FROM p, ws WHERE trim(question, ws) <> '' AND trim(content_text, ws) <> ''"),
+    "lines_json": (_lines_json, "SELECT doc_id, md5(text) AS text, CAST(1 AS BIGINT) AS odd FROM documents"),
+    "lenient_resume": (_lenient_resume, "SELECT doc_id AS source_index FROM documents WHERE doc_id % 3 <> 0"),
     "pairs_limit": (_pairs_limit, f"WITH {_PAIRS}, ws AS (SELECT {_WS} AS ws) SELECT source_index, trim(question, ws) AS query FROM p, ws WHERE coalesce(trim(question, ws), '') <> '' AND coalesce(trim(content_text, ws), '') <> '' AND source_index % 3 <> 0 ORDER BY source_index LIMIT 25"),
     "pending_rows": (_pending_rows, "SELECT doc_id AS source_index FROM documents WHERE doc_id % 3 <> 0"),
     "missing_work": (_missing_work, f"WITH {_STATE} SELECT doc_id AS source_index, i AS strategy_index FROM documents, (SELECT unnest(range(7)) AS i) WHERE (doc_id, i) NOT IN (SELECT (source_index, strategy_index) FROM last)"),
@@ -381,14 +419,12 @@ QUERIES = {
     "split_groups": (_split_groups, f"WITH {_GROUPS} SELECT * FROM grp"),
     "split_assignment": (_split_assignment, f"WITH RECURSIVE {_SPLIT} SELECT * FROM side"),
     "split_counts": (_split_counts, f"WITH RECURSIVE {_SPLIT} SELECT split, CAST(sum(n) AS BIGINT) AS n FROM side GROUP BY split"),
-    "split_leakage": (_split_leakage, "SELECT CAST(0 AS BIGINT) AS leaked"),
+    "split_leakage": (_split_leakage, f"WITH RECURSIVE {_SPLIT}, leaky AS (SELECT positive FROM rec JOIN side USING (positive) GROUP BY positive HAVING count(DISTINCT split) > 1) SELECT count(*) AS leaked FROM leaky"),
     "split_compatible": (_split_compatible, None),
     "corpus_positive_only": (_corpus(False), f"WITH {_CLEAN} SELECT row_number() OVER (ORDER BY min(line_no)) - 1 AS doc_index, positive AS text FROM first GROUP BY positive"),
     "corpus_full": (_corpus(True), f"WITH {_CLEAN}, t AS (SELECT positive AS text, 0 AS section, line_no, 0 AS place FROM first UNION ALL SELECT text, 1, line_no, id FROM flat) SELECT row_number() OVER (ORDER BY min({{'a': section, 'b': line_no, 'c': place}})) - 1 AS doc_index, text FROM t GROUP BY text"),
     "qrels": (_qrels, f"WITH {_CLEAN}, c AS (SELECT row_number() OVER (ORDER BY min(line_no)) - 1 AS doc_index, positive FROM first GROUP BY positive) SELECT row_number() OVER (ORDER BY line_no) - 1 AS query_index, doc_index FROM first JOIN c USING (positive)"),
     "l2_norms": (_l2_norms, "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings"),
-    "normalize": (_normalize, f"WITH {_VEC} SELECT query_index, i AS at, round(embedding[i + 1], 6) AS x FROM q, (SELECT unnest(range(8)) AS i)"),
-    "dot_scores": (_dot_scores, f"WITH {_VEC} SELECT query_index, round(list_inner_product(q.embedding, v.embedding), 6) AS score FROM q JOIN v ON query_index = doc_index"),
     "normalize_all": (_normalize_all, f"WITH {_VEC} SELECT doc_index AS vec_id, i AS at, round(embedding[i + 1], 6) AS x FROM (SELECT doc_index, embedding, unnest(range(len(embedding))) AS i FROM v)"),
     "dot_scores_all": (_dot_scores_all, f"WITH {_VEC} SELECT vec_id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), v.embedding), 6) AS score FROM embeddings e JOIN v ON vec_id = doc_index"),
     "topk_neighbors": (_topk, f"WITH {_VEC} SELECT query_index, doc_index, rank, round(score, 6) AS score FROM top"),
@@ -396,8 +432,15 @@ QUERIES = {
     "retrieval_metrics": (_metrics, f"WITH {_VEC}, r AS (SELECT q.query_index, rank FROM q LEFT JOIN top ON top.query_index = q.query_index AND doc_index = q.query_index) SELECT count(*) AS query_count, round(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_1, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_at_5, round(avg(CASE WHEN rank <= 10 THEN 1::DOUBLE / rank ELSE 0 END), 6) AS mrr_at_10 FROM r"),
     "parse_json_outcomes": (_parse_json, f"WITH {_JSON} SELECT * FROM f"),
     "validate_candidates": (_validate, f"WITH {_JSON} SELECT line_no, CASE WHEN coalesce(trim(text), '') = '' THEN 'text is missing' WHEN coalesce(trim(violated_requirement), '') = '' THEN 'violated_requirement is missing' WHEN trim(text) = 'the one' THEN 'identical to the positive' WHEN {_WORDS('text')} NOT BETWEEN 1 AND 3 THEN 'word count out of bounds' END AS error FROM f"),
-    "validate_combined": (_validate_combined, None),
-    "eval_record_checks": (_eval_checks, None),
+    "validate_combined": (_validate_combined, f"""WITH v AS (SELECT line_no, CASE WHEN json_type(line) = 'OBJECT' THEN line END AS v FROM {_values(COMBINED)}),
+ i AS (SELECT *, CAST(v -> '$.hard_negatives' AS STRUCT(id BIGINT, type VARCHAR, text VARCHAR, violated_requirement VARCHAR)[]) AS items FROM v)
+ SELECT line_no, CASE WHEN v IS NULL THEN 'not a JSON object' WHEN trim(v ->> '$.information_need') = '' THEN 'information_need is missing' WHEN json_array_length(v, '$.critical_requirements') < 1 THEN 'critical_requirements is missing' WHEN len(items) <> 7 THEN 'not exactly seven negatives'
+ WHEN list_transform(items, lambda x: x.id) <> range(1, 8) OR list_transform(items, lambda x: x.type) <> {_TYPES} THEN 'negatives out of order' WHEN len(list_filter(items, lambda x: trim(x.text) = '' OR trim(x.violated_requirement) = '')) > 0 THEN 'a negative is empty' END AS error FROM i"""),
+    "validate_combined_all": (_validate_combined_all, "SELECT doc_id, CASE doc_id % 7 WHEN 1 THEN 'negatives out of order' WHEN 2 THEN 'a negative is empty' WHEN 3 THEN 'information_need is missing' WHEN 4 THEN 'critical_requirements is missing' WHEN 5 THEN 'not exactly seven negatives' WHEN 6 THEN 'not a JSON object' END AS error FROM documents"),
+    "eval_record_checks": (_eval_checks, f"""WITH v AS (SELECT line_no, CASE WHEN json_valid(line) THEN line END AS v FROM {_values(EVAL_LINES)}), q AS (SELECT *, CASE WHEN json_type(v, '$.query') = 'VARCHAR' THEN trim(v ->> '$.query') END AS query, CAST(v -> '$.pos' AS JSON[]) AS pos, CAST(v -> '$.neg' AS JSON[]) AS neg FROM v),
+ e AS (SELECT line_no, query, CASE WHEN v IS NULL OR json_type(v) <> 'OBJECT' THEN 'invalid JSON' WHEN coalesce(query, '') = '' THEN 'invalid query' WHEN pos IS NULL OR len(pos) <> 1 OR json_type(pos[1]) <> 'VARCHAR' OR trim(pos[1] ->> '$') = '' THEN 'not exactly one positive'
+ WHEN neg IS NULL OR len(list_filter(neg, lambda x: json_type(x) <> 'VARCHAR' OR trim(x ->> '$') = '')) > 0 THEN 'invalid negatives' END AS error FROM q)
+ SELECT line_no, coalesce(error, CASE WHEN line_no > min(line_no) FILTER (error IS NULL) OVER (PARTITION BY query) THEN 'duplicate query' END) AS error FROM e"""),
     "parse_json_all": (_parse_json_all, "SELECT doc_id, true AS object, md5(text) AS text, lang AS violated_requirement FROM documents"),
     "validate_all": (_validate_all, f"""WITH ws AS (SELECT {_WS} AS ws), p AS (SELECT doc_id, trim(text, ws) AS positive FROM documents, ws), c AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN positive WHEN 1 THEN '' WHEN 2 THEN positive || ' more' ELSE 'one' END AS text, {_WORDS('positive')} AS n FROM p)
  SELECT doc_id, CASE WHEN text = '' THEN 'text is missing' WHEN doc_id % 5 = 0 THEN 'violated_requirement is missing' WHEN text = positive THEN 'identical to the positive' WHEN {_WORDS('text')} NOT BETWEEN greatest(1, n - floor(n * 0.5::DOUBLE)) AND n + floor(n * 0.5::DOUBLE) THEN 'word count out of bounds' END AS error FROM c"""),
@@ -405,8 +448,8 @@ QUERIES = {
  SELECT line_no, coalesce(error, CASE WHEN line_no > min(line_no) FILTER (error IS NULL) OVER (PARTITION BY query) THEN 'duplicate query' END) AS error FROM own"""),
     "state_latest": (_state_latest, f"WITH {_STATE} SELECT * FROM last"),
     "state_compacted": (_state_compacted, f"WITH {_STATE} SELECT source_index, strategy_index FROM last WHERE source_index % 3 <> 0"),
-    "error_summary": (_error_summary, None),
-    "generate_stub": (_generate_stub, None),
+    "error_summary": (_error_summary, f"WITH {_STUB} SELECT coalesce(error, 'saved') AS outcome, count(*) AS n FROM stub GROUP BY ALL"),
+    "generate_stub": (_generate_stub, f"WITH {_STUB} SELECT * FROM stub"),
     "encode_stub": (_encode_stub, r"SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words FROM documents"),
     "backoff_plan": (_backoff, "SELECT i AS attempt, 2.0::DOUBLE * pow(2, i - 1) AS seconds FROM (SELECT unnest(range(1, 5)) AS i)"),
     "safe_names": (_safe_names, r"SELECT page_id, CASE WHEN n = '' THEN 'model' ELSE n END AS name FROM (SELECT page_id, trim(regexp_replace(regexp_extract(url, '([^/\\]*)[/\\]*$', 1), '[^A-Za-z0-9._-]+', '-', 'g'), '-_') AS n FROM pages)"),
