@@ -321,16 +321,17 @@ def _validate_combined(s, d):
 
 
 def _validate_combined_all(s, d):
-    """An answer per document, its text in every negative; the remainder of doc_id by 7 says what is wrong with it."""
+    """An answer per document, its text in the first negative; the remainder of doc_id by 7 says what is wrong with it."""
     fault, text = F.col("doc_id") % 7, F.coalesce(strip(F.col("text")), F.lit(""))
     item = lambda i, t: F.struct(
-        F.when((fault == 1) & F.lit(i == 1), 9).otherwise(i + 1).alias("id"), F.lit(t).alias("type"), F.when((fault == 2) & F.lit(i == 6), " ").otherwise(F.concat(text, F.lit(f" {i}"))).alias("text"), F.lit("v").alias("violated_requirement")
+        F.when((fault == 1) & F.lit(i == 1), 9).otherwise(i + 1).alias("id"), F.lit(t).alias("type"), F.when((fault == 2) & F.lit(i == 6), " ").otherwise(F.lit(f"t{i}") if i else F.concat(text, F.lit(" t"))).alias("text"), F.lit("v").alias("violated_requirement")
     )
     seven = F.array(*(item(i, t) for i, t in enumerate(TYPES)))
     need, asked = F.when(fault == 3, " ").otherwise("n"), F.when(fault == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("r")))
     answer = F.to_json(F.struct(need.alias("information_need"), asked.alias("critical_requirements"), F.when(fault == 5, F.slice(seven, 1, 6)).otherwise(seven).alias("hard_negatives")))
     line = F.when(fault == 6, F.concat(F.lit("["), answer, F.lit("]"))).otherwise(answer)
-    return _read(s, d, "documents").select("doc_id", records.combined_error(jsonx.tolerant_object(line)).alias("error"))
+    objects = _read(s, d, "documents").select("doc_id", line.alias("line")).select("doc_id", jsonx.tolerant_object(F.col("line")).alias("v"))
+    return objects.select("doc_id", records.combined_error(F.col("v")).alias("error"))
 
 
 def _eval_checks(s, d):
