@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import GAP, LOWER, UPPER, as_bytes, components, drop, table, unused, words_of, written
+from .shared import GAP, LOWER, UPPER, as_bytes, components, drop, slices, table, unused, words_of, written
 
 SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = 64, 8
@@ -98,7 +98,7 @@ _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, digest, bands, ends = [], [], [], [0]
         for text in as_bytes(batch["text"]):
             items = shingle_set(words_of(text))
