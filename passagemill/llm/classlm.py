@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, drop, held_out, table, words_of, written
+from .shared import as_bytes, drop, held_out, slices, table, words_of, written
 
 CORE, CLASSES, LEXICON = 2000, 32, 100_000
 #: States and classes: 0 is the end of a text, 1.. the classes of words, OTHER a word outside.
@@ -43,7 +43,7 @@ SLOTS = CLASSES + 2
 BACK_OFF = 0.1
 #: The end of a text; no word is empty.
 STOP = ""
-_FLUSH, _TOKENS, _LOW = 400_000, 1_000_000, (1 << 40) - 1
+_FLUSH, _TOKENS, _LOW = 200_000, 500_000, (1 << 40) - 1
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen.clear()
         return got
 
-    for batch in batches:
+    for batch in slices(batches):
         for text in as_bytes(batch["text"]):
             seen.update(words_of(text))
             seen[b""] += 1
@@ -84,15 +84,21 @@ class Numbers(dict):
 
 
 def _runs(batches: Iterator[pa.RecordBatch], numbers) -> Iterator[tuple[np.ndarray, Numbers]]:
-    """Numbers of some million tokens at a time, whole texts, each text between ends; numbers() makes fresh ones."""
+    """Numbers of half a million tokens at a time, whole texts, each text between ends; numbers() makes fresh ones where
+    they grow. The caller lets go of a run before it asks for the next, or two stay in memory."""
     own, ids = numbers(), [0]
-    for batch in batches:
+    for batch in slices(batches):
         for text in as_bytes(batch["text"]):
             ids += map(own.__getitem__, words_of(text))
             ids.append(0)
             if len(ids) > _TOKENS:
-                yield np.array(ids), own
-                own, ids = numbers(), [0]
+                run = np.array(ids)
+                ids = [0]
+                yield run, own
+                del run
+                if own.grow:
+                    del own
+                    own = numbers()
     if len(ids) > 1:
         yield np.array(ids), own
 
@@ -109,7 +115,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], words, core: int) -> Iterator[pa.R
     n = core + 2
     total = np.zeros(n * n, np.int32)
     for a, _ in _runs(batches, functools.partial(Numbers, words.value[:core], False)):
-        total += np.bincount(a[:-1] * n + a[1:], minlength=n * n).astype(np.int32)
+        np.add.at(total, a[:-1] * n + a[1:], 1)
+        del a
     yield from _cells(total)
 
 
@@ -122,7 +129,7 @@ def exchange(classes: np.ndarray, pairs: np.ndarray, k: int, fixed: np.ndarray,
     frequent to rare, goes to the class with the greatest likelihood of the class bigram. Rows and classes in fixed
     keep to themselves."""
     classes = classes.copy()
-    pairs = pairs.astype(float)
+    pairs = pairs.astype(float, copy=False)
     one = np.eye(k)[classes]
     after, before = pairs @ one, pairs.T @ one
     counts = one.T @ after
@@ -197,8 +204,9 @@ def _contexts(batches: Iterator[pa.RecordBatch], words, states: np.ndarray, firs
         s = states[a]
         at = np.flatnonzero((a >= first) & (a <= len(listed)))
         own = (a[at] - first) * (2 * SLOTS)
-        cells, n = np.unique(np.concatenate([own + s[at - 1], own + SLOTS + s[at + 1]]), return_counts=True)
-        total[cells] += n.astype(np.int32)
+        np.add.at(total, own + s[at - 1], 1)
+        np.add.at(total, own + SLOTS + s[at + 1], 1)
+        del a, s, at, own
     yield from _cells(total)
 
 
@@ -231,9 +239,11 @@ def _rest(batches: Iterator[pa.RecordBatch], words, states: np.ndarray) -> Itera
         seen = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((cells % (2 * SLOTS)) << 40 | n))
         names = pa.array(list(own)[first:], pa.binary()).cast(pa.string())
         k = len(names)
+        del a, own, s, at, w, cells, n, ends
         for b in range(0, k, 100_000):
             part = names[b : b + 100_000]
             yield pa.RecordBatch.from_arrays([part, seen[b : b + 100_000], pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.int64())], ["word", "seen", "cell", "n"])
+        del seen, names, part
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.list_(pa.int64())), pa.array(at.astype(np.int32)), pa.array(total[at])], ["word", "seen", "cell", "n"])
 
