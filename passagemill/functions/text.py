@@ -18,6 +18,21 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE))
 
 
+def text_key(text: Column) -> Column:
+    """What stands for a text where texts are only compared: its md5 and xxhash64, 48 characters that are shuffled in its
+    place. Null stays null and the empty text stays empty."""
+    return F.when(text == "", text).otherwise(F.concat(F.md5(text), F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
+
+
+def key_md5(key: Column) -> Column:
+    """The md5 of the text of a key."""
+    return F.when(key == "", F.md5(key)).otherwise(F.left(key, F.lit(32)))
+
+
+def first_line(text: Column) -> Column:
+    return F.substring_index(text, "\n", 1)
+
+
 def blank(text: Column) -> Column:
     """Null, empty or only white space."""
     return F.coalesce(strip(text) == "", F.lit(True))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
-from ..functions.text import blank, normalized, strip, word_bounds, word_count
+from ..functions.text import blank, normalized, strip, text_key, word_bounds, word_count
 
 ITEM = "struct<id:int,type:string,hardness:string,violated_requirement:string,text:string>"
 #: The strategies in order, with the hardness each is given.
@@ -140,12 +140,12 @@ def raise_first(df: DataFrame, what: str = "line") -> DataFrame:
 
 
 def first_per(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows with the least order of each key. A partial aggregation finds them, so a frequent key is no hot task."""
-    first = df.groupBy(key).agg(F.min(order).alias("_first"))
+    """Rows with the least order of each key, a text. A partial aggregation finds them, so a frequent key is no hot task."""
+    first = df.groupBy(text_key(F.col(key)).alias("_key")).agg(F.min(order).alias("_first"))
     return df.join(first.select("_first"), F.col(order) == F.col("_first"), "left_semi")
 
 
-def ordinal(df: DataFrame, order: str, name: str, first: int = 0, chunk: int = 1_000_000) -> DataFrame:
+def ordinal(df: DataFrame, order: str, name: str, first: int = 0, chunk: int = 100_000) -> DataFrame:
     """df with its rank by order, a unique and roughly dense integer: ranks within chunks of order plus a prefix sum over
     the chunks' counts, so that no task sees all rows."""
     cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))

@@ -17,17 +17,17 @@ QUERY_BLOCK = 4096
 
 def corpus(examples: DataFrame, full: bool) -> DataFrame:
     """doc_index, text of (line_no, pos, neg): distinct texts by first appearance, all positives before any negative."""
-    pos = examples.select(F.col("pos")[0].alias("text"), F.lit(0).alias("section"), "line_no", F.lit(0).alias("at"))
-    parts = pos
+    texts = F.array(F.col("pos")[0])
     if full:
-        parts = pos.unionByName(examples.select(F.lit(1).alias("section"), "line_no", F.posexplode("neg").alias("at", "text")))
+        texts = F.concat(texts, F.coalesce("neg", F.array().cast("array<string>")))
+    parts = examples.select("line_no", F.posexplode(texts).alias("at", "text")).withColumn("section", F.least("at", F.lit(1)))
     first = parts.groupBy("text").agg(F.min(F.struct("section", "line_no", "at")).alias("first")).persist()  # numbered in two passes
     sections = []
     for s in (0, 1) if full else (0,):
         own = first.where(F.col("first.section") == s)
         within = F.row_number().over(Window.partitionBy("line_no").orderBy("at"))
         own = own.select("text", F.col("first.line_no").alias("line_no"), F.col("first.at").alias("at")).withColumn("_place", F.col("line_no") * 100_000 + within)
-        sections.append(ordinal(own, "_place", "doc_index", chunk=100_000_000_000).select("doc_index", "text"))
+        sections.append(ordinal(own, "_place", "doc_index", chunk=10_000_000_000).select("doc_index", "text"))
     if not full:
         return sections[0]
     shift = sections[0].agg(F.count("*").alias("shift"))  # one row

@@ -192,3 +192,16 @@ def test_report_and_training(tmp_path):
     assert "--bf16" in argv and "--fp16" not in argv and "--negatives_cross_device" in argv
     with pytest.raises(ValueError):
         training.check(training.Training(train_file=str(tmp_path / "t.jsonl"), train_group_size=1))
+
+
+def test_keys_stand_for_texts(spark):
+    """Keys are short whatever the text, and cleaning by keys picks what cleaning by texts picks."""
+    rows = [(i + 1, f"q{i % 9}", ["", "d0", f"d{i % 5}", "q3"][i % 4], ["", "d1", "q3", f"n{i}"][: i % 5]) for i in range(30)]
+    df = spark.createDataFrame(rows, "line_no long, query string, positive string, texts array<string>")
+    item = lambda x: F.struct(F.lit(0).alias("id"), F.lit("t").alias("type"), F.lit("h").alias("hardness"), F.lit("v").alias("violated_requirement"), x.alias("text"))
+    plain = df.withColumn("hard_negatives", F.transform("texts", item)).drop("texts")
+    keyed = df.select("line_no", text.text_key(F.col("query")).alias("query"), text.text_key(F.col("positive")).alias("positive"), F.transform("texts", lambda x: item(text.text_key(x))).alias("hard_negatives"))
+    want, got = ({r["line_no"]: [x["text"] for x in r["hard_negatives"]] for r in clean.cleaned(x, 4).collect()} for x in (plain, keyed))
+    long = {x: k for x, k in spark.createDataFrame([(x,) for v in want.values() for x in v] + [("y" * 5000,)], "t string").select("t", text.text_key(F.col("t"))).collect()}
+    assert {k: [long[x] for x in v] for k, v in want.items()} == got
+    assert max(map(len, long.values())) == 48 and long[""] == ""
