@@ -217,3 +217,11 @@ def test_split_groups_by_key(spark):
         done = split.split(df, (80.0, 10.0, 10.0), 1, compatible)
         for plan in map(_plan, (split.counts(done), split.leaked(done))):
             assert "Join" in plan and not any(f"{x}positive#" in plan for x in ("Aggregate [", "Join Inner, ("))
+
+
+def test_pool_numbers_lines_without_texts(spark):
+    df = spark.createDataFrame([(i, f"p{i % 7}") for i in range(50)], "line_no long, positive string")
+    lines = _plan(clean.positive_pool(df)).split("\n")
+    below = [lines[i + 1] for i, x in enumerate(lines) if "Window [row_number" in x]
+    assert below and not any("positive#" in x.split("Project [")[-1] for x in below)
+    assert sorted(map(tuple, clean.positive_pool(df).collect())) == [(i, f"p{i}") for i in range(7)]
