@@ -27,15 +27,16 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str, first: int) -> DataFrame:
-    """df, a scan of files, in physical order with an ordinal: the place within the scan's partition plus the rows of those
-    before it, from a count per partition. Splits of a scan are the same in both passes."""
-    at = df.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    sizes = df.select(F.shiftright(F.monotonically_increasing_id(), 33).alias("_part")).groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
-    starts = sizes.select("_part", before.alias("_before"))
-    place = (F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + first).cast("long").alias(name)
-    return at.withColumn("_part", part).join(F.broadcast(starts), "_part").select(place, *(F.col(f"`{c}`") for c in df.columns))
+    """df, a scan of files, in physical order with an ordinal: files by path, within a file its blocks by their start, the
+    place within the block plus the rows of those before it, from a count per block. A scan deals blocks to its partitions
+    by size, so the partitions' own order is not that of the lines. Splits of a scan are the same in both passes."""
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    at = df.select(*(F.col(f"`{c}`") for c in df.columns), *block, F.monotonically_increasing_id().alias("_at"))
+    sizes = df.select(*block, F.monotonically_increasing_id().alias("_at")).groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per block
+    starts = sizes.select("_file", "_start", "_least", before.alias("_before"))
+    place = (F.col("_before") + F.col("_at") - F.col("_least") + first).cast("long").alias(name)
+    return at.join(F.broadcast(starts), ["_file", "_start"]).select(place, *(F.col(f"`{c}`") for c in df.columns))
 
 
 def nonempty_pairs(rows: DataFrame) -> DataFrame:

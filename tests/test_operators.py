@@ -225,3 +225,21 @@ def test_pool_numbers_lines_without_texts(spark):
     below = [lines[i + 1] for i, x in enumerate(lines) if "Window [row_number" in x]
     assert below and not any("positive#" in x.split("Project [")[-1] for x in below)
     assert sorted(map(tuple, clean.positive_pool(df).collect())) == [(i, f"p{i}") for i in range(7)]
+
+
+def test_lines_in_order_of_blocks(spark, tmp_path):
+    """Files that are cut into blocks of several sizes; a scan deals the large ones first."""
+    want = []
+    for f, n in enumerate((700, 400, 901)):
+        own = [f"{f}-{i} " + "x" * (i % 13) for i in range(n)]
+        (tmp_path / f"part-{f}.txt").write_text("".join(x + "\n" for x in own))
+        want += own
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = [tuple(r) for r in files.read_lines(spark, f"file://{tmp_path}").orderBy("line_no").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == list(enumerate(want, 1))
