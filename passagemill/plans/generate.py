@@ -38,9 +38,12 @@ def limited(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def missing(rows: DataFrame, saved: DataFrame) -> DataFrame:
-    """Rows times strategies (seven, by explode) that have no saved candidate."""
-    all_ = rows.withColumn("strategy_index", F.explode(F.array(*(F.lit(i) for i in range(len(records.STRATEGIES))))))
-    return all_.join(saved.select("source_index", "strategy_index"), ["source_index", "strategy_index"], "left_anti")
+    """Rows times strategies (seven, by explode) that have no saved candidate. A row is joined once with all that it has and
+    exploded after that, so that its texts move once and not once for each strategy."""
+    had = saved.groupBy("source_index").agg(F.collect_set(F.col("strategy_index").cast("int")).alias("_had"))
+    left = F.array_except(F.array(*(F.lit(i) for i in range(len(records.STRATEGIES)))), F.coalesce("_had", F.array().cast("array<int>")))
+    joined = rows.join(had, "source_index", "left")
+    return joined.select("source_index", F.explode(left).alias("strategy_index"), *(c for c in rows.columns if c != "source_index"))
 
 
 def latest(state: DataFrame) -> DataFrame:

@@ -219,6 +219,16 @@ def test_split_groups_by_key(spark):
             assert "Join" in plan and not any(f"{x}positive#" in plan for x in ("Aggregate [", "Join Inner, ("))
 
 
+def test_rows_move_once_before_strategies(spark):
+    rows = spark.createDataFrame([(i, f"q{i}", "p") for i in range(4)] + [(None, "q", "p")], "source_index long, query string, positive string")
+    saved = spark.createDataFrame([(0, 1), (0, 6), (2, 0), (2, 0), (None, 3)], "source_index long, strategy_index int")
+    work = generate.missing(rows, saved)
+    gone = {(0, 1), (0, 6), (2, 0)}
+    assert sorted((r[0] if r[0] is not None else -1, r[1], r[2], r[3]) for r in work.collect()) == sorted((i, k, f"q{i}" if i >= 0 else "q", "p") for i in range(-1, 4) for k in range(7) if (i, k) not in gone)
+    plan = _plan(work)
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter")
+
+
 def test_pool_numbers_lines_without_texts(spark):
     df = spark.createDataFrame([(i, f"p{i % 7}") for i in range(50)], "line_no long, positive string")
     lines = _plan(clean.positive_pool(df)).split("\n")
